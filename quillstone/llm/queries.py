@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.llm import language_id, secret_scan
 from quillstone.llm.fingerprints import document_fingerprints
 from quillstone.llm.frames import table
+from quillstone.llm.license_scan import license_scan
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id", "source"]).findings
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL = {
@@ -23,4 +41,5 @@ SQL = {
                CASE WHEN canon IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY canon) END AS group_size
         FROM (SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS canon
               FROM documents)""",
+    "op7_secret_scan": secret_scan.oracle_sql(),
 }
