@@ -8,12 +8,22 @@ from quillstone.llm import language_id, secret_scan
 from quillstone.llm.fingerprints import document_fingerprints
 from quillstone.llm.frames import table
 from quillstone.llm.license_scan import license_scan
+from quillstone.llm.simhash_dedup import near_duplicates
+from quillstone.llm.suffix_dedup import repeated_passages
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "word_start", "word_stop", "first")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id", "source"]).findings
 
@@ -28,7 +38,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
