@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import language_id, secret_scan
+from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.fingerprints import document_fingerprints
 from quillstone.llm.frames import table
 from quillstone.llm.license_scan import license_scan
@@ -12,6 +13,10 @@ from quillstone.llm.simhash_dedup import near_duplicates
 from quillstone.llm.suffix_dedup import repeated_passages
 
 
+#: Where the public vocabularies lie; read on the driver only.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "word_start", "word_stop", "first")
 
@@ -20,6 +25,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_bpe": op4_bpe,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 #: ASCII white space separates words.
@@ -102,7 +102,7 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_hash(prefix(_CODES[data]), starts, ends)
+    return spans_hash(prefix(BYTE_CODES[data]), starts, ends)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
