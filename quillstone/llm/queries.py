@@ -10,7 +10,9 @@ from quillstone.llm.fingerprints import document_fingerprints
 from quillstone.llm.frames import table
 from quillstone.llm.license_scan import license_scan
 from quillstone.llm.simhash_dedup import near_duplicates
+from quillstone.llm.slack_pack import pack_min_slack
 from quillstone.llm.suffix_dedup import repeated_passages
+from quillstone.llm.token_pack import pack_best_fit
 
 
 #: Where the public vocabularies lie; read on the driver only.
@@ -33,10 +35,18 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id", "source"]).findings
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_min_slack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -51,7 +61,9 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_token_output": op6_token_output,
     "op7_secret_scan": op7_secret_scan,
+    "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
