@@ -9,6 +9,7 @@ from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.fingerprints import document_fingerprints
 from quillstone.llm.frames import table
 from quillstone.llm.license_scan import license_scan
+from quillstone.llm.mpegts import multiplex_table, transport_streams
 from quillstone.llm.simhash_dedup import near_duplicates
 from quillstone.llm.slack_pack import pack_min_slack
 from quillstone.llm.suffix_dedup import repeated_passages
@@ -27,6 +28,11 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media, so each page is multiplexed first: html and url as two streams."""
+    return transport_streams(multiplex_table(table(spark, sf_dir, "pages"), "page_id", "html", "url"), "page_id", "ts")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -59,6 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_media_columns": op3_media_columns,
     "op4_bpe": op4_bpe,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_output": op6_token_output,
