@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +44,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def hashed(*cols: str):
     """A 64-bit key of the given columns, with nulls told apart from values."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+
+
+def edit_texts(edit):
+    """A column function of (text, edits) that calls ``edit`` where neither is null.
+
+    Hand in a null text for rows that need no edit: Spark evaluates Python
+    functions for every row, and so only the nulls travel.
+    """
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series, edits: pd.Series) -> pd.Series:
+        return pd.Series([edit(t, e) if t is not None and e is not None else t for t, e in zip(text, edits, strict=True)], dtype=object)
+
+    return run

@@ -218,3 +218,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.round(score, 6)), pa.array([x is None for x in lang])], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language isn't rejected; map only."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _, _ = predict(shared.value, batch.column(at))
+            yield batch.filter(pa.array([x is not None for x in lang]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.frames import edit_texts
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -134,6 +136,30 @@ def secret_scan(versions: DataFrame, path_cols: list[str], text_col: str = "text
     return Scan(findings, settled, found, todo.select("blob_id", F.col("_rules").alias("rules")))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with each found secret replaced by ``[rule_id]``; overlapping ones by the first.
+
+    Every row and column stays; texts without findings are unchanged. Findings
+    belong to (id, content), so that different texts under one id don't mix.
+    """
+    keyed = docs.select(F.col(id_col).alias("_sid"), F.xxhash64(F.col(text_col)).alias("_skey"), F.col(text_col).alias("_stext"))
+    found = secret_scan(keyed, ["_sid", "_skey"], "_stext", rules).findings.distinct()
+    spans = found.groupBy("_sid", "_skey").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "rule_id"))).alias("_spans"))
+    d = docs.withColumn("_dkey", F.xxhash64(F.col(text_col)))
+    joined = d.join(spans, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.col("_dkey") == F.col("_skey")), "left")
+    edited = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(edit_texts(_redact)(F.when(F.col("_spans").isNotNull(), F.col(text_col)), F.col("_spans")))
+    return joined.withColumn("_new", edited).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def _redact(text: str, spans) -> str:
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[{s['rule_id']}]"]
+        at = max(at, s["stop"])
+    return "".join(out) + text[at:]
+
+
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The findings of a first run over ``documents`` in DuckDB's SQL."""
     one = """SELECT doc_id, source, '{id}' AS rule_id, {v}::INT AS rule_version,

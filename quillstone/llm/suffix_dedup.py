@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.frames import materialise
+from quillstone.llm.frames import edit_texts, materialise
 from quillstone.llm.textkit import SPACE, blocks, buffers, expand, mix, prefix, runs, sliding_min, spans_hash, whole_groups, word_hashes, words
 
 
@@ -333,28 +333,16 @@ def cut_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", te
     d = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
     joined = d.join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_text_key") == F.col("_cut_key")), "left")
 
-    @F.pandas_udf("string")
-    def cut(text, spans):  # only over rows that have cuts
-        return pa_cut(text, spans)
-
-    edited = F.when(F.col("_cuts").isNotNull(), cut(F.col(text_col), F.col("_cuts"))).otherwise(F.col(text_col))
-    out = joined.withColumn("_new", edited).filter(F.col("_cuts").isNull() | (F.trim("_new") != ""))
+    edited = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(edit_texts(_cut)(F.when(F.col("_cuts").isNotNull(), F.col(text_col)), F.col("_cuts")))
+    out = joined.withColumn("_new", edited).filter(F.col("_cuts").isNull() | F.col("_new").rlike(r"\S"))
     return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
-def pa_cut(texts, spans):
-    import pandas as pd
-
-    out = []
-    for text, cuts in zip(texts, spans, strict=True):
-        if text is None or cuts is None or not len(cuts):
-            out.append(text)
-            continue
-        raw = np.frombuffer(text.encode(), np.uint8)
-        starts, _, _ = words(raw, np.array([0, len(raw)]), SPACE)
-        edge = np.r_[starts, len(raw)]
-        keep = np.ones(len(raw), bool)
-        for c in cuts:
-            keep[edge[c["word_start"]] : edge[c["word_stop"]]] = False
-        out.append(raw[keep].tobytes().decode())
-    return pd.Series(out, dtype=object)
+def _cut(text: str, cuts) -> str:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, _, _ = words(raw, np.array([0, len(raw)]), SPACE)
+    edge = np.r_[starts, len(raw)]
+    keep = np.ones(len(raw), bool)
+    for c in cuts:
+        keep[edge[c["word_start"]] : edge[c["word_stop"]]] = False
+    return raw[keep].tobytes().decode()
