@@ -1,0 +1 @@
+"""Source-structure analytics as DataFrame operators."""
