@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def hashed(*cols: str):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
 
 
+def row_struct(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever they are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpack_row(df: DataFrame, changed: str, value: Column, row: str = "row") -> list[Column]:
+    """The columns of ``df`` out of its :func:`row_struct`, with ``value`` for one of them."""
+    return [(value if c == changed else F.col(row).getField(c)).alias(c) for c in df.columns]
+
+
 def edit_texts(edit):
     """A column function of (text, edits) that calls ``edit`` where neither is null.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.frames import edit_texts
+from quillstone.llm.frames import edit_texts, row_struct, unpack_row
 
 
 @dataclass(frozen=True)
@@ -145,10 +145,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     keyed = docs.select(F.col(id_col).alias("_sid"), F.xxhash64(F.col(text_col)).alias("_skey"), F.col(text_col).alias("_stext"))
     found = secret_scan(keyed, ["_sid", "_skey"], "_stext", rules).findings.distinct()
     spans = found.groupBy("_sid", "_skey").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "rule_id"))).alias("_spans"))
-    d = docs.withColumn("_dkey", F.xxhash64(F.col(text_col)))
-    joined = d.join(spans, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.col("_dkey") == F.col("_skey")), "left")
-    edited = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(edit_texts(_redact)(F.when(F.col("_spans").isNotNull(), F.col(text_col)), F.col("_spans")))
-    return joined.withColumn("_new", edited).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    d = docs.select(row_struct(docs).alias("row"), F.col(id_col).alias("did"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    joined = d.join(spans, F.col("did").eqNullSafe(F.col("_sid")) & (F.col("key") == F.col("_skey")), "left")
+    edited = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(edit_texts(_redact)(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
+    return joined.select("row", edited.alias("new")).select(*unpack_row(docs, text_col, F.col("new")))
 
 
 def _redact(text: str, spans) -> str:

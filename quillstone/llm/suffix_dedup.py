@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.frames import edit_texts, materialise
+from quillstone.llm.frames import edit_texts, materialise, row_struct, unpack_row
 from quillstone.llm.textkit import SPACE, blocks, buffers, expand, mix, prefix, runs, sliding_min, spans_hash, whole_groups, word_hashes, words
 
 
@@ -330,12 +330,12 @@ def cut_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", te
     which nothing is left goes. All columns and their order stay.
     """
     cuts = passages.filter("NOT first").groupBy(F.col(id_col).alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.array_sort(F.collect_list(F.struct("word_start", "word_stop"))).alias("_cuts"))
-    d = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    joined = d.join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_text_key") == F.col("_cut_key")), "left")
-
-    edited = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(edit_texts(_cut)(F.when(F.col("_cuts").isNotNull(), F.col(text_col)), F.col("_cuts")))
-    out = joined.withColumn("_new", edited).filter(F.col("_cuts").isNull() | F.col("_new").rlike(r"\S"))
-    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    # the row travels as one struct, so that no column of ``docs`` can clash
+    d = docs.select(row_struct(docs).alias("row"), F.col(id_col).alias("did"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    joined = d.join(cuts, F.col("did").eqNullSafe(F.col("_cut_id")) & (F.col("key") == F.col("_cut_key")), "left")
+    edited = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(edit_texts(_cut)(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
+    out = joined.select("row", "_cuts", edited.alias("new")).filter(F.col("_cuts").isNull() | F.col("new").rlike(r"\S"))
+    return out.select(*unpack_row(docs, text_col, F.col("new")))
 
 
 def _cut(text: str, cuts) -> str:
