@@ -28,3 +28,10 @@ def element_at(probes: DataFrame, pos: str, elements: DataFrame, keys: list[str]
     rank = F.array_position(F.array(*[F.lit(k) for k in PRIORITY]), F.col("kind"))
     hits = interval_join(probes, pos, elements.filter(f"{start} <> 0"), start, stop, keys, width)
     return first_match(hits.withColumn("_rank", F.when(rank > 0, rank).otherwise(99)), list(probe_id), [F.col("_rank"), F.col("ord")]).drop("_rank")
+
+
+def line_column_in_text(text: Column | str, pos: Column | str) -> tuple[Column, Column]:
+    """Line and column, from 1, of a character position (from 1) in a text that is at hand."""
+    t, p = (F.col(x) if isinstance(x, str) else x for x in (text, pos))
+    lines = F.split(F.substring(t, F.lit(1), (p - 1).cast("int")), "\n")
+    return F.size(lines), (F.length(F.element_at(lines, -1)) + 1).cast("long")

@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 TYPES = """types AS (SELECT lower(r_name) || '/' || lower(n_name) AS import_path,
-  (CASE WHEN s_suppkey % 3 = 0 THEN 'svc' ELSE 'Svc' END) || s_suppkey || (CASE s_suppkey % 7 WHEN 0 THEN 'Reader' WHEN 1 THEN 'Writer' WHEN 2 THEN 'Handler' WHEN 3 THEN 'Processor' WHEN 4 THEN 'Service' WHEN 5 THEN 'Controller' ELSE 'Impl' END) AS name,
-  CASE s_suppkey % 4 WHEN 0 THEN 'interface' WHEN 1 THEN 'type' ELSE 'struct' END AS kind,
-  s_suppkey % 3 <> 0 AS is_exported, s_suppkey AS type_id, s_name AS doc
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-METHODS = """methods AS (SELECT DISTINCT l_suppkey AS type_id, (CASE WHEN l_suppkey % 3 = 0 THEN '*' ELSE '' END) || 'T' || l_suppkey AS receiver_type,
+  (CASE WHEN o_orderkey % 3 = 0 THEN 'svc' ELSE 'Svc' END) || o_orderkey || (CASE o_orderkey % 7 WHEN 0 THEN 'Reader' WHEN 1 THEN 'Writer' WHEN 2 THEN 'Handler' WHEN 3 THEN 'Processor' WHEN 4 THEN 'Service' WHEN 5 THEN 'Controller' ELSE 'Impl' END) AS name,
+  CASE o_orderkey % 4 WHEN 0 THEN 'interface' WHEN 1 THEN 'type' ELSE 'struct' END AS kind,
+  o_orderkey % 3 <> 0 AS is_exported, o_orderkey AS type_id, o_orderpriority AS doc
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+METHODS = """methods AS (SELECT DISTINCT l_orderkey AS type_id, (CASE WHEN l_orderkey % 3 = 0 THEN '*' ELSE '' END) || 'T' || l_orderkey AS receiver_type,
   CASE p_type WHEN 'SMALL' THEN 'Read' WHEN 'LARGE' THEN 'Write' ELSE p_type END AS name,
   CASE WHEN p_size < 35 THEN '(x int) error' ELSE '(x string) error' END AS signature
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount = 0 AND l_tax = 0 AND l_quantity >= 40)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 TYPED = TYPES + ", " + METHODS + """, tm AS (SELECT import_path, types.name AS type_name, methods.name, signature, type_id FROM methods JOIN types USING (type_id))"""
 _UP = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
 _N = "replace(p_name, ' ', '')"
-FUNCTIONS = f"""functions AS (SELECT lower(p_type) AS import_path, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '.go' AS file_path, p_partkey AS ord,
-  CASE WHEN p_partkey % 2 = 0 THEN {_UP.format(_N)} ELSE {_N} END AS name, p_partkey % 2 = 0 AS is_exported, p_size % 5 = 0 AS is_method,
-  CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS doc, p_size FROM part WHERE p_partkey % 3 = 0)"""
-TESTS = f"""tests AS (SELECT import_path, name, min(body) AS body FROM (SELECT lower(p_type) AS import_path,
-  CASE WHEN p_size % 13 = 0 THEN 'TestNothing' ELSE 'Test' || {_UP.format(_N)} || (CASE p_size % 4 WHEN 0 THEN 'Success' WHEN 1 THEN 'Zzz' ELSE '' END) END AS name,
+_PKG = "lower(p_type) || '/' || lower(replace(p_brand, '#', ''))"
+FUNCTIONS = f"""functions AS (SELECT {_PKG} AS import_path, {_PKG} || '/f' || (p_size % 5) || '.go' AS file_path, p_partkey AS ord,
+  (CASE WHEN p_partkey % 2 = 0 THEN {_UP.format(_N)} ELSE {_N} END) || (p_size % 7) AS name, p_partkey % 2 = 0 AS is_exported, p_size % 5 = 0 AS is_method,
+  CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS doc, p_size FROM part)"""
+TESTS = f"""tests AS (SELECT import_path, name, min(body) AS body FROM (SELECT {_PKG} AS import_path,
+  CASE WHEN p_size % 13 = 0 THEN 'TestNothing' ELSE 'Test' || {_UP.format(_N)} || ((p_size * 3 + 1) % 7) || (CASE p_size % 4 WHEN 0 THEN 'Success' WHEN 1 THEN 'Zzz' ELSE '' END) END AS name,
   CASE p_partkey % 6 WHEN 0 THEN 'testCases := []struct{{ name string }}{{}}' WHEN 1 THEN 't.Parallel()' WHEN 2 THEN 'given := 1 // when then' WHEN 3 THEN 'x := 1' WHEN 4 THEN 'cases := map[string]int{{}}' || chr(10) || 't.Parallel()' ELSE 'assert(x)' END AS body
-  FROM part WHERE p_partkey % 3 = 1) GROUP BY ALL HAVING true)""".replace("GROUP BY ALL HAVING true", "GROUP BY import_path, name")
-BENCHMARKS = f"""benchmarks AS (SELECT DISTINCT lower(p_type) AS import_path, 'Benchmark' || {_UP.format(_N)} AS name FROM part WHERE p_partkey % 7 = 2)"""
+  FROM part) GROUP BY import_path, name)"""
+BENCHMARKS = f"""benchmarks AS (SELECT DISTINCT {_PKG} AS import_path, 'Benchmark' || {_UP.format(_N)} || ((p_size * 5 + 2) % 7) AS name FROM part)"""
 MAP = """mapped AS (SELECT import_path, test_name, function_name, tier FROM (SELECT t.import_path, t.name AS test_name, f.name AS function_name,
   CASE WHEN f.name = substr(t.name, 5) THEN 1 WHEN f.name = lower(substr(t.name, 5, 1)) || substr(t.name, 6) THEN 2 ELSE 3 END AS tier,
   row_number() OVER (PARTITION BY t.import_path, t.name ORDER BY CASE WHEN f.name = substr(t.name, 5) THEN 1 WHEN f.name = lower(substr(t.name, 5, 1)) || substr(t.name, 6) THEN 2 ELSE 3 END, length(f.name) DESC, f.name) AS rn
@@ -75,8 +76,8 @@ SQL = {
     "structure_exported": q(TYPES, "SELECT import_path, name, name || ' ' || kind AS line FROM types WHERE is_exported"),
     "structure_all": q(TYPES, "SELECT import_path, name, name || ' ' || kind || (CASE WHEN is_exported THEN '' ELSE ' (unexported)' END) AS line FROM types"),
     "interfaces_list": q(TYPES, "SELECT import_path, name, '' AS implementors FROM types WHERE kind = 'interface'"),
-    "find_type": q(TYPES, "SELECT import_path, name, kind, doc FROM types WHERE import_path || '.' || name = 'africa/nation_15.svc0Reader'"),
-    "find_function": q(FUNCTIONS, "SELECT import_path, name, ord FROM functions WHERE import_path || '.' || name = 'economy.Smallring'"),
+    "find_type": q(TYPES, "SELECT import_path, name, kind, doc FROM types WHERE import_path || '.' || name = 'middle east/nation_19.Svc1Writer'"),
+    "find_function": q(FUNCTIONS, "SELECT import_path, name, ord FROM functions WHERE import_path || '.' || name = 'economy/brand2.Smallring4'"),
     "get_variable": q(VARIABLES, "SELECT import_path, file_path, name, value FROM variables WHERE import_path = 'household' AND name = 'V0'"),
     "associate_methods": q(TYPED, "SELECT import_path, type_name, name, signature FROM tm"),
     "types_without_methods": q(TYPES + ", " + METHODS, "SELECT import_path, name FROM types WHERE type_id NOT IN (SELECT type_id FROM methods)"),

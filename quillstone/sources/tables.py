@@ -21,28 +21,30 @@ def _pick(key: Column, values: tuple[str, ...]) -> Column:
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as types; a nation of a region is a package."""
+    """Orders as types; the nation of the customer, in its region, is the package."""
     places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    k = F.col("s_suppkey")
+    k = F.col("o_orderkey")
     return (
-        read(spark, sf_dir, "supplier")
-        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        read(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", "o_orderpriority")
+        .join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.concat_ws("/", F.lower("r_name"), F.lower("n_name")).alias("import_path"),
             F.concat(F.when(k % 3 == 0, "svc").otherwise("Svc"), k.cast("string"), _pick(k, SUFFIX)).alias("name"),
             F.when(k % 4 == 0, "interface").when(k % 4 == 1, "type").otherwise("struct").alias("kind"),
             (k % 3 != 0).alias("is_exported"),
             k.alias("type_id"),
-            F.col("s_name").alias("doc"),
+            F.col("o_orderpriority").alias("doc"),
         )
     )
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items without discount or tax as methods: the supplier's type, the part's kind as name."""
-    li = read(spark, sf_dir, "lineitem").filter("l_discount = 0 AND l_tax = 0 AND l_quantity >= 40").select("l_suppkey", "l_partkey")
+    """Line items as methods: the order is the receiver, the part's kind the name."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    k = F.col("l_suppkey")
+    k = F.col("l_orderkey")
     return (
         li.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
@@ -65,22 +67,27 @@ def _part_name() -> Column:
     return F.replace(F.col("p_name"), F.lit(" "), F.lit(""))
 
 
+def _part_package() -> Column:
+    return F.concat_ws("/", F.lower("p_type"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))))
+
+
+def _number(n: Column) -> Column:
+    return (n % 7).cast("string")
+
+
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    n = _part_name()
-    return (
-        read(spark, sf_dir, "part")
-        .filter(k % 3 == 0)
-        .select(
-            F.lower("p_type").alias("import_path"),
-            F.concat_ws("/", F.lower("p_type"), F.concat(F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))), F.lit(".go"))).alias("file_path"),
-            k.alias("ord"),
-            F.when(k % 2 == 0, upper_first(n)).otherwise(n).alias("name"),
-            (k % 2 == 0).alias("is_exported"),
-            (F.col("p_size") % 5 == 0).alias("is_method"),
-            F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")).alias("doc"),
-            "p_size",
-        )
+    """Parts as functions; type and brand are the package, one in five is a method."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    n = F.concat(_part_name(), _number(size))
+    return read(spark, sf_dir, "part").select(
+        _part_package().alias("import_path"),
+        F.concat(_part_package(), F.lit("/f"), (size % 5).cast("string"), F.lit(".go")).alias("file_path"),
+        k.alias("ord"),
+        F.when(k % 2 == 0, upper_first(n)).otherwise(n).alias("name"),
+        (k % 2 == 0).alias("is_exported"),
+        (size % 5 == 0).alias("is_method"),
+        F.when(size % 3 == 0, "").otherwise(F.col("p_brand")).alias("doc"),
+        "p_size",
     )
 
 
@@ -88,14 +95,17 @@ BODIES = ("testCases := []struct{ name string }{}", "t.Parallel()", "given := 1
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    name = F.concat(F.lit("Test"), upper_first(_part_name()), F.when(F.col("p_size") % 4 == 0, "Success").when(F.col("p_size") % 4 == 1, "Zzz").otherwise(""))
-    name = F.when(F.col("p_size") % 13 == 0, F.lit("TestNothing")).otherwise(name)
-    return read(spark, sf_dir, "part").filter(k % 3 == 1).select(F.lower("p_type").alias("import_path"), name.alias("name"), _pick(k, BODIES).alias("body")).groupBy("import_path", "name").agg(F.min("body").alias("body"))
+    """Parts as tests, numbered otherwise than functions, so that some test nothing."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.lit("Test"), upper_first(_part_name()), _number(size * 3 + 1), F.when(size % 4 == 0, "Success").when(size % 4 == 1, "Zzz").otherwise(""))
+    name = F.when(size % 13 == 0, F.lit("TestNothing")).otherwise(name)
+    rows = read(spark, sf_dir, "part").select(_part_package().alias("import_path"), name.alias("name"), _pick(k, BODIES).alias("body"))
+    return rows.groupBy("import_path", "name").agg(F.min("body").alias("body"))
 
 
 def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").filter(F.col("p_partkey") % 7 == 2).select(F.lower("p_type").alias("import_path"), F.concat(F.lit("Benchmark"), upper_first(_part_name())).alias("name")).distinct()
+    name = F.concat(F.lit("Benchmark"), upper_first(_part_name()), _number(F.col("p_size") * 5 + 2))
+    return read(spark, sf_dir, "part").select(_part_package().alias("import_path"), name.alias("name")).distinct()
 
 
 def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
