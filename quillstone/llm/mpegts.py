@@ -135,7 +135,7 @@ def parse(data: bytes) -> tuple[list[dict], int]:
         gap = wrong[~again]
         first = np.flatnonzero(unit[use])
         units, payload = [], []
-        for a, b in zip(first, np.r_[first[1:], len(use)], strict=True):
+        for a, b in zip(first, np.r_[first[1:], len(use)][: len(first)], strict=True):
             body = b"".join(blob[i * PACKET + int(body_at[i]) : (i + 1) * PACKET] for i in use[a:b])
             damaged = bool(gap[a + 1 : b].any())
             if body[:3] != b"\0\0\1" or len(body) < 9:

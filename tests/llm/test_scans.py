@@ -39,6 +39,13 @@ def test_lost_and_doubled_packets():
     assert more["duplicates"] == 1 and more["continuity_errors"] == 0 and more["payload"] == whole["payload"]
 
 
+def test_streams_without_a_unit_start():
+    units = [bytes([k]) * 1000 for k in range(2)]
+    starts = frozenset(i for i in range(20) if i in (2, 8))  # after the tables, six packets a unit
+    stream = mpegts.parse(mpegts.multiplex([(0x100, 0x1B, units)], key_every=9, drop=starts))[0][0]
+    assert stream["units"] == [] and stream["payload"] == b"" and stream["packets"] > 0
+
+
 def test_stream_edges(spark):
     good = mpegts.multiplex([(0x100, 0x1B, [b"x" * 400])])
     bad = bytearray(good)
