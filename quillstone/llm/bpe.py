@@ -28,6 +28,8 @@ from quillstone.llm.textkit import BYTE_CODES, blocks, buffers, expand, mix, pre
 
 #: Longer words are encoded one at a time; shorter ones together.
 _WIDE = 32
+#: Bytes of text that are encoded at a time; what a worker holds grows with it.
+BLOCK = 1_500_000
 
 
 @dataclass
@@ -37,7 +39,7 @@ class Automaton:
     left, right, birth: the merge that makes each token, -1 and 0 for bytes.
     state: where a token's arc leads in the end. parent, cut, stamp: each
     state's version it was split from, the arc that it lost, and when.
-    child, accept: the labels as a byte trie; row 0 is the dead node, 1 the root.
+    child, accept: the labels as a byte trie; row 0 is the dead node, 1 the root, the last that of all nodes without children.
     """
 
     labels: list[bytes]
@@ -77,12 +79,15 @@ class Automaton:
                         table.append({})
                     node = nxt
                 ends[node] = t
-            child = np.zeros((len(table), 256), np.uint16 if len(table) < 65536 else np.int32)
+            # nodes with children come first; the others, most of the trie, share one last row of zeros
+            inner = np.array([n < 2 or bool(kids) for n, kids in enumerate(table)])
+            place = np.where(inner, np.cumsum(inner) - 1, inner.sum() - 1 + np.cumsum(~inner))
+            child = np.zeros((int(inner.sum()) + 1, 256), np.int32)
             for n, kids in enumerate(table):
                 if kids:
-                    child[n, list(kids)] = list(kids.values())
+                    child[place[n], list(kids)] = place[list(kids.values())]
             accept = np.full(len(table), -1, np.int32)
-            accept[list(ends)] = list(ends.values())
+            accept[place[list(ends)]] = list(ends.values())
             self.child, self.accept = child, accept
         return self.child, self.accept
 
@@ -178,7 +183,7 @@ def _one(a: Automaton, word: bytes) -> list[int]:
             ends[i] = []
         node = 1
         for k in range(i, len(word)):
-            node = child[node, word[k]]
+            node = child[min(node, len(child) - 1), word[k]]
             if not node:
                 break
             if accept[node] >= 0:
@@ -211,7 +216,7 @@ def encode_words(a: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nd
             node = np.zeros((length, len(part)), np.int64)
             for i in range(1, length + 1):
                 node[i - 1] = 1
-                node[:i] = child[node[:i], text[:, i - 1]]
+                node[:i] = child[np.minimum(node[:i], len(child) - 1), text[:, i - 1]]
                 token = accept[node[:i]]
                 for j in range(i):  # the longest token first
                     rows = np.flatnonzero((token[j] >= 0) & (last[i] < 0))
@@ -412,7 +417,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         e = encoder(shared)
         for batch in batches:
             data, off = buffers(batch.column(1))
-            for a, b in blocks(off, 3_000_000):
+            for a, b in blocks(off, BLOCK):
                 part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 ids, ends = e.encode(part, at)
                 plain, back = e.decode(ids, ends)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.bpe import encoder, tokenizer
+from quillstone.llm.bpe import BLOCK, encoder, tokenizer
 from quillstone.llm.textkit import blocks, buffers, expand, whole_groups
 
 
@@ -83,7 +83,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
         e = encoder(shared)
         for batch in batches:
             data, off = buffers(batch.column(2))
-            for a, b in blocks(off, 3_000_000):
+            for a, b in blocks(off, BLOCK):
                 ids, ends = e.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 if config.eos is not None:
                     some = np.flatnonzero(np.diff(ends))
