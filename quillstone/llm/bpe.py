@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstone.llm.textkit import BYTE_CODES, blocks, buffers, expand, mix, prefix, spans_hash
+from quillstone.llm.textkit import BYTE_CODES, blocks, buffers, expand, mix, prefix, spans_hash, tidy
 
 #: Longer words are encoded one at a time; shorter ones together.
 _WIDE = 32
@@ -428,7 +428,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=mask)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), lists, pa.array(np.diff(ends), pa.int32(), mask=null), pa.array(same, mask=null)], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -451,4 +451,4 @@ def bpe_decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", i
                 texts.append(e.decode(ids, np.array([0, len(ids)]))[0].tobytes().decode(errors="replace"))
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, schema)
+    return tokens.select(id_col, ids_col).mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.frames import materialise
-from quillstone.llm.textkit import blocks, buffers
+from quillstone.llm.textkit import blocks, buffers, tidy
 
 #: Letters of ASCII are folded by the caller; digits, signs and white space all become one blank.
 _FOLD = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], np.uint32)
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
     schema = "bucket int, n long, lang string, tf binary"
     names = ["bucket", "n", "lang", "tf"]
-    seen = materialise(sent.mapInArrow(gather, schema), "langid")
+    seen = materialise(sent.mapInArrow(tidy(gather), schema), "langid")
     freq = np.zeros(dims + 1)
     for r in seen.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         freq[r[0]] = r[1]
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, _ = predict(shared.value, batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.round(score, 6)), pa.array([x is None for x in lang])], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -230,4 +230,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             lang, _, _ = predict(shared.value, batch.column(at))
             yield batch.filter(pa.array([x is not None for x in lang]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quillstone.llm.components import components
 from quillstone.llm.frames import materialise
-from quillstone.llm.textkit import NON_WORD, blocks, buffers, expand, mix, runs, whole_groups, word_hashes, words
+from quillstone.llm.textkit import NON_WORD, blocks, buffers, expand, mix, runs, tidy, whole_groups, word_hashes, words
 
 BITS = 256
 _LANES = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -229,11 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 both = both.filter(pc.not_equal(both["u"], both["v"]))
                 yield from both.group_by(pairs.names).aggregate([]).select(pairs.names).to_batches()
 
-    prints = materialise(docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(take_prints, printed), "prints")
+    prints = materialise(docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(tidy(take_prints), printed), "prints")
     layout = config.layout(prints.count())
     nodes = prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    crowd = nodes.select("id", "fp").mapInArrow(spread_cells, spread)
-    edges = crowd.repartition("cell").sortWithinPartitions("cell").mapInArrow(join_cells, pairs).distinct()
+    crowd = nodes.select("id", "fp").mapInArrow(tidy(spread_cells), spread)
+    edges = crowd.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(join_cells), pairs).distinct()
     stars = components(edges)
     rooted = nodes.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("fp", "n", F.coalesce("v", "id").alias("group_id"))
     sizes = rooted.groupBy("group_id").agg(F.sum("n").alias("group_size")).filter("group_size > 1")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.frames import edit_texts, materialise, row_struct, unpack_row
-from quillstone.llm.textkit import SPACE, blocks, buffers, expand, mix, prefix, runs, sliding_min, spans_hash, whole_groups, word_hashes, words
+from quillstone.llm.textkit import SPACE, blocks, buffers, expand, mix, prefix, runs, sliding_min, spans_hash, tidy, whole_groups, word_hashes, words
 
 
 @dataclass(frozen=True)
@@ -311,15 +311,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(first, pa.bool_())], span_t.names)
 
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
-    met = keyed.mapInArrow(split, seg_t).repartition("key").sortWithinPartitions("key", "body", "id", "tid", "at").mapInArrow(meet, occ_t)
+    met = keyed.mapInArrow(tidy(split), seg_t).repartition("key").sortWithinPartitions("key", "body", "id", "tid", "at").mapInArrow(tidy(meet), occ_t)
     occ = materialise(met, "segments")
     wanted = occ.filter("lead").groupBy("id", "tid").agg(F.collect_list(F.struct("key", "body", "at", "n", "many")).alias("segs"))
     joined = keyed.alias("d").join(wanted.alias("w"), F.col("d.tid").eqNullSafe(F.col("w.tid")) & F.col("d.id").eqNullSafe(F.col("w.id")))
-    texts = joined.select("d.id", "d.tid", "d.text", "w.segs").mapInArrow(extract, text_t)
-    flags = texts.repartition("key").sortWithinPartitions("key").mapInArrow(order, flag_t)
+    texts = joined.select("d.id", "d.tid", "d.text", "w.segs").mapInArrow(tidy(extract), text_t)
+    flags = texts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(order), flag_t)
     flags = flags.dropDuplicates(["key", "body"])  # rows equal in id and text gave theirs twice
     hits = occ.join(flags, ["key", "body"]).groupBy("id", "tid").agg(F.collect_list(F.struct("at", "lead", "rep", "own")).alias("segs"))
-    return hits.mapInArrow(merge, span_t)
+    return hits.mapInArrow(tidy(merge), span_t)
 
 
 def cut_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

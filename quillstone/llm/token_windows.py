@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.bpe import BLOCK, encoder, tokenizer
-from quillstone.llm.textkit import blocks, buffers, expand, whole_groups
+from quillstone.llm.textkit import blocks, buffers, expand, tidy, whole_groups
 
 
 @dataclass(frozen=True)
@@ -130,5 +130,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
                     )
 
     shard = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000"))), F.lit(shards)).alias("shard")
-    sent_rows = docs.select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tokens, sent)
-    return sent_rows.repartition("shard").sortWithinPartitions("shard", "id", "tokens").mapInArrow(windows, result)
+    sent_rows = docs.select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(tokens), sent)
+    return sent_rows.repartition("shard").sortWithinPartitions("shard", "id", "tokens").mapInArrow(tidy(windows), result)
