@@ -30,11 +30,11 @@ RULES = (
     Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
     Rule("jwt", 1, r"eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", ("eyJ",)),
-    Rule("password_assignment", 1, r"(?:password|passwd|Password|PASSWORD)[ ]?[=:][ ]?[0-9A-Za-z_!@#$%^&*+/-]{8,64}", ("password", "passwd", "Password", "PASSWORD")),
+    Rule("password_assignment", 2, r"(?:password|passwd|Password|PASSWORD)[ ]?[=:][ ]?[\x22\x27]?[0-9A-Za-z_!@#$%^&*+/-]{8,}", ("password", "passwd", "Password", "PASSWORD")),
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
-    Rule("secret_assignment", 1, r"(?:api_key|apikey|API_KEY|secret|SECRET|token|TOKEN)[ ]?[=:][ ]?[\x22\x27]?[0-9A-Za-z_+/-]{16,64}", ("api_key", "apikey", "API_KEY", "secret", "SECRET", "token", "TOKEN")),
-    Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,72}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("stripe_key", 1, r"[rs]k_live_[0-9A-Za-z]{16,64}", ("k_live_",)),
+    Rule("secret_assignment", 2, r"(?:api_key|apikey|API_KEY|secret|SECRET|token|TOKEN)[ ]?[=:][ ]?[\x22\x27]?[0-9A-Za-z_+/-]{16,}={0,2}", ("api_key", "apikey", "API_KEY", "secret", "SECRET", "token", "TOKEN")),
+    Rule("slack_token", 2, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("stripe_key", 2, r"[rs]k_live_[0-9A-Za-z]{16,}", ("k_live_",)),
 )
 
 

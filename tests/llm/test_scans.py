@@ -92,6 +92,16 @@ def test_redaction(spark):
     assert secret_scan.redact(df.limit(0)).count() == 0
 
 
+def test_long_and_quoted_secrets_leave_no_remnant(spark):
+    long = "Zq7" * 150
+    cases = {
+        f'token = "{long}"': '[secret_assignment]"', f"api_key='{long}=='": "[secret_assignment]'", f"password: {long}": "[password_assignment]", f"xoxb-{long}": "[slack_token]",
+        f"sk_live_{long}": "[stripe_key]", 'password = "hunter2hunter2"': '[password_assignment]"', f"passwd='{long}'": "[password_assignment]'",
+    }
+    texts = [(i, f"before {t} after") for i, t in enumerate(cases)]
+    assert {r.doc_id: r.text for r in secret_scan.redact(table(spark, texts)).collect()} == {i: f"before {w} after" for i, w in enumerate(cases.values())}
+
+
 def _damage(rng, text, edits):
     out = list(text)
     for _ in range(edits):
