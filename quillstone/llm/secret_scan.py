@@ -25,13 +25,23 @@ class Rule:
     keywords: tuple[str, ...]
 
 
+_BEGIN = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: A body holds single dashes at most (header fields, lines of a diff), so that no other key's BEGIN is passed.
+_TO_END = r"[^-]*(?:-[^-]+){0,250}-{5,}END [A-Z ]{0,20}PRIVATE KEY-----"
+#: Where END is missing: header fields, then lines of nothing but base64, indented, quoted or with escaped ends; more lines than keys have, and plain lines beyond.
+_EOL = r"(?:[\r\n]+|(?:\\r)?\\n(?:\\n)?)"
+_KEY_LINES = (
+    rf"(?:[ \t\x22\x27,+]*{_EOL}(?:[ \t]*[A-Z][A-Za-z]+-[A-Za-z]+:[^\r\n\\]*{_EOL}){{0,20}}"
+    rf"(?:[ \t>#*|\x22\x27-]*[0-9A-Za-z+/]+={{0,2}}[ \t\x22\x27,;]*(?:{_EOL}|$)){{1,500}}(?:[0-9A-Za-z+/=\r\n]+(?:[\r\n]|$))?)?"
+)
+
 RULES = (
     Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}", ("AKIA", "ASIA")),
     Rule("github_token", 1, r"gh[pousr]_[0-9A-Za-z]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
     Rule("jwt", 1, r"eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", ("eyJ",)),
     Rule("password_assignment", 2, r"(?:password|passwd|Password|PASSWORD)[ ]?[=:][ ]?[\x22\x27]?[0-9A-Za-z_!@#$%^&*+/-]{8,}", ("password", "passwd", "Password", "PASSWORD")),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("private_key", 2, rf"{_BEGIN}(?:{_TO_END}|{_KEY_LINES})", ("PRIVATE KEY-----",)),
     Rule("secret_assignment", 2, r"(?:api_key|apikey|API_KEY|secret|SECRET|token|TOKEN)[ ]?[=:][ ]?[\x22\x27]?[0-9A-Za-z_+/-]{16,}={0,2}", ("api_key", "apikey", "API_KEY", "secret", "SECRET", "token", "TOKEN")),
     Rule("slack_token", 2, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("stripe_key", 2, r"[rs]k_live_[0-9A-Za-z]{16,}", ("k_live_",)),

@@ -1,5 +1,6 @@
 """Transport streams, secrets, licenses and languages."""
 
+import base64
 import random
 import re
 
@@ -102,6 +103,22 @@ def test_long_and_quoted_secrets_leave_no_remnant(spark):
     assert {r.doc_id: r.text for r in secret_scan.redact(table(spark, texts)).collect()} == {i: f"before {w} after" for i, w in enumerate(cases.values())}
 
 
+def test_whole_private_keys_are_redacted(spark):
+    rng, begin, end = random.Random(6), "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    code = base64.b64encode(rng.randbytes(1190)).decode()
+    lines = [code[i : i + 64] for i in range(0, len(code), 64)]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF"
+    plain, gap = "\n".join([begin, *lines, end]), "\n" * 50_000
+    cases = [
+        (f"a\n{plain}\nb c", "a\n[private_key]\nb c"), ("\r\n".join([begin, *lines, end, "b c"]), "[private_key]\r\nb c"), ("\n".join([begin, fields, "", *lines, end, "b c"]), "[private_key]\nb c"),
+        (f"{begin} is a header-line. {plain} b {plain}", "[private_key] is a header-line. [private_key] b [private_key]"), ("\\n".join(["'" + begin, *lines, end + "'"]), "'[private_key]'"), ("\n".join(["-" + x for x in (begin, *lines, end)]), "-[private_key]"),
+        ("\n".join([begin, *lines, "b c"]), "[private_key]b c"), ("\n".join([begin, *lines]), "[private_key]"), ("\n".join([begin, fields, "", *(f"  {x}" for x in lines), "b c"]), "[private_key]b c"),
+        ("\n".join([begin, *lines * 300, "b c"]), "[private_key]b c"), (f"{begin}{gap}b c", f"[private_key]{gap}b c"), (f"{begin} " + "well-known words " * 20_000, "[private_key] " + "well-known words " * 20_000),
+    ]
+    got = {r.doc_id: r.text for r in secret_scan.redact(table(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [i for i, (_, w) in enumerate(cases) if got[i] != w] == []
+
+
 def _damage(rng, text, edits):
     out = list(text)
     for _ in range(edits):
