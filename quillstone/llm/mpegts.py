@@ -38,14 +38,62 @@ def _stamp(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
 
 
-def _align(data: np.ndarray) -> int:
-    """Where packets begin: the first offset with sync bytes a packet apart."""
-    for at in range(min(PACKET, len(data))):
-        if (data[at::PACKET] == _SYNC)[: max(1, min(5, (len(data) - at) // PACKET))].all() and len(data) - at >= PACKET:
-            return at
+def _next_packet(data: np.ndarray, a: int, b: int) -> int:
+    """Where packets go on: of the offsets from a before b, or else of a packet's length after them, the first with the most sync bytes a packet apart.
+
+    Two at least, five count; the end of the data is as good as a sync byte.
+    Headers with neither adaptation field nor payload, as a run of sync bytes
+    would have, are none.
+    """
+    n = len(data)
+    while a + PACKET <= n:
+        at = np.arange(a, min(b, n - PACKET + 1))
+        alive, count = np.ones(len(at), bool), np.zeros(len(at), np.int64)
+        for j in range(5):
+            q = at + j * PACKET
+            sync = (data[np.minimum(q, n - 1)] == _SYNC) & ((q + 3 >= n) | (data[np.minimum(q + 3, n - 1)] & 0x30 > 0))
+            alive &= np.where(q < n, sync, q == n)
+            count += alive
+        if len(at) and count.max() > 1:
+            return int(at[count.argmax()])
+        a, b = b, b + PACKET
     return -1
 
 
+def _packets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The offset of each packet, and whether it may hold bytes that are none of its own.
+
+    Where a sync byte fails, or the header as above, packets go on from the next that are found; that
+    may be inside the last packet, which then lost bytes and is left out. If it
+    is behind, at another distance than whole packets, bytes were inserted
+    before or inside the last packet's end, so that it is in doubt.
+    """
+    parts, doubt = [], []
+    at = _next_packet(data, 0, PACKET)
+    while at >= 0:
+        whole = (len(data) - at) // PACKET
+        n, step = 0, 64
+        while n < whole:  # in growing pieces, so that many losses cost no more than one
+            part = data[at + n * PACKET : at + min(n + step, whole) * PACKET].reshape(-1, PACKET)
+            ok = (part[:, 0] == _SYNC) & (part[:, 3] & 0x30 > 0)
+            if not ok.all():
+                n += int(ok.argmin())
+                break
+            n, step = n + len(ok), step * 2
+        stop = at + n * PACKET
+        follows = -1
+        if len(data) - stop and (n < whole or data[stop] != _SYNC):
+            follows = _next_packet(data, stop - PACKET + 1, stop + PACKET + 1)
+        if 0 <= follows < stop:
+            n -= 1
+        parts.append(at + PACKET * np.arange(n))
+        doubt.append(np.zeros(n, bool))
+        if follows > stop and (follows - stop) % PACKET and n:
+            doubt[-1][-1] = True
+        at = follows
+    return (np.concatenate(parts), np.concatenate(doubt)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool))
+
+
 def _sections(payloads: list[tuple[bool, bytes]]) -> Iterator[bytes]:
     """Whole sections with a good CRC, from a PID's payloads (unit start, bytes)."""
     held = b""
@@ -82,13 +130,13 @@ def parse(data: bytes) -> tuple[list[dict], int]:
     units (pts, dts, packet, random_access, size, damaged) and payload.
     """
     raw = np.frombuffer(data, np.uint8)
-    begin = _align(raw)
-    if begin < 0:
+    begin, doubt = _packets(raw)
+    n = len(begin)
+    if not n:
         return [], len(raw)
-    n = (len(raw) - begin) // PACKET
-    p = raw[begin : begin + n * PACKET].reshape(n, PACKET)
+    p = raw[begin[0] : begin[0] + n * PACKET].reshape(n, PACKET) if begin[-1] - begin[0] == (n - 1) * PACKET else raw[begin[:, None] + np.arange(PACKET)]
     lost = len(raw) - n * PACKET
-    good = (p[:, 0] == _SYNC) & (p[:, 1] & 0x80 == 0)
+    good = p[:, 1] & 0x80 == 0
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     unit = p[:, 1] & 0x40 > 0
     has_field, has_body = p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0
@@ -137,7 +185,7 @@ def parse(data: bytes) -> tuple[list[dict], int]:
         units, payload = [], []
         for a, b in zip(first, np.r_[first[1:], len(use)][: len(first)], strict=True):
             body = b"".join(blob[i * PACKET + int(body_at[i]) : (i + 1) * PACKET] for i in use[a:b])
-            damaged = bool(gap[a + 1 : b].any())
+            damaged = bool(gap[a + 1 : b].any() or doubt[use[a:b]].any())
             if body[:3] != b"\0\0\1" or len(body) < 9:
                 units.append((None, None, int(use[a]), bool(entry[use[a]]), 0, True))
                 continue
@@ -145,7 +193,7 @@ def parse(data: bytes) -> tuple[list[dict], int]:
             pts = _stamp(body[9:14]) if stamps & 2 and len(body) >= 14 else None
             dts = _stamp(body[14:19]) if stamps == 3 and len(body) >= 19 else pts
             content = body[head : 6 + size] if size else body[head:]
-            damaged |= bool(size) and len(body) < 6 + size
+            damaged |= len(body) < 6 + size if size else b < len(use) and bool(gap[b])  # without a size, the end may be what is missing
             units.append((pts, dts, int(use[a]), bool(entry[use[a]]), len(content), damaged))
             payload.append(content)
         out.append({"program": number, "pid": es, "stream_type": kind, "packets": len(mine), "duplicates": int(again.sum()), "continuity_errors": int(wrong.sum()), "units": units, "payload": b"".join(payload)})
@@ -159,8 +207,10 @@ def transport_streams(media: DataFrame, id_col: str, data_col: str, payload: boo
     continuity_errors, units ARRAY<STRUCT<pts, dts, packet, random_access,
     size, damaged>>, random_access_points ARRAY<STRUCT<packet, pts>>,
     payload_size, payload_hash, lost_bytes[, payload]). Timestamps are in ticks
-    of 90 kHz; packet counts from the first whole packet. A unit is damaged
-    where packets of it are missing. dts is pts where the packet has only that.
+    of 90 kHz; packet counts the packets found, from 0. Where bytes were lost
+    or inserted, packets go on at the next sync bytes; lost_bytes counts all
+    that are in no packet. A unit is damaged where packets of it are missing or
+    one may hold inserted bytes. dts is pts where the packet has only that.
 
     Null or empty bytes, and bytes without packets or program tables, have no
     streams and no rows. Repeated rows: rows for each. Null ids stay null.

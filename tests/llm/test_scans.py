@@ -47,6 +47,32 @@ def test_streams_without_a_unit_start():
     assert stream["units"] == [] and stream["payload"] == b"" and stream["packets"] > 0
 
 
+def test_lost_and_inserted_bytes_cost_only_their_unit():
+    rng = random.Random(7)
+    for video in ([rng.randbytes(2000) for _ in range(12)], [b"G" * 2000 for _ in range(12)], [rng.randbytes(70_000) for _ in range(4)]):
+        data = mpegts.multiplex([(0x100, 0x1B, video)], key_every=2)
+        whole = mpegts.parse(data)[0][0]
+        stamps, points = [u[:2] for u in whole["units"]], [u[3] for u in whole["units"]]
+        middle = whole["units"][len(video) // 2][2] + 3  # a packet inside that unit
+        ruined = [k == len(video) // 2 for k in range(len(video))]
+        for at in (middle * 188 + 90, (middle + 1) * 188 - 1):
+            for k in (1, 20):  # the packet is lost with them
+                (v,), lost = mpegts.parse(data[: at - k] + data[at:])
+                assert [u[:2] for u in v["units"]] == stamps and [u[3] for u in v["units"]] == points and [u[5] for u in v["units"]] == ruined
+                assert lost == 188 - k and v["packets"] == whole["packets"] - 1 and v["continuity_errors"] == 1
+        for at in (middle * 188 + 90, (middle + 1) * 188):
+            for more in (b"x", b"junk" * 20, bytes(1000)):
+                (v,), lost = mpegts.parse(data[:at] + more + data[at:])
+                assert [u[:2] for u in v["units"]] == stamps and [u[3] for u in v["units"]] == points and [u[5] for u in v["units"]] == ruined
+                assert lost == len(more) and v["packets"] == whole["packets"]
+        flip = bytearray(data)
+        flip[middle * 188] ^= 0xFF  # a sync byte alone
+        (v,), lost = mpegts.parse(bytes(flip))
+        assert lost == 188 and [u[5] for u in v["units"]] == ruined
+        (v,), lost = mpegts.parse(bytes(300) + data[:600] + data[601:])  # junk of more than a packet, then a loss among the first packets
+        assert lost == 300 + 187 and [u[:2] for u in v["units"]] == stamps
+
+
 def test_stream_edges(spark):
     good = mpegts.multiplex([(0x100, 0x1B, [b"x" * 400])])
     bad = bytearray(good)
