@@ -28,11 +28,12 @@ class Config:
 
     Cells: references come in twins that differ in one bit, so that the nearer
     twin of each of ``key_bits`` pairs (their distances differ by one) makes a
-    key; two fingerprints at distance d share a key with probability
-    (1 - d / 256) ** key_bits. key_bits follows the logarithm of the number of
+    key; two fingerprints at distance d share a key with the probability that
+    none of key_bits different bits is among the d. key_bits follows the logarithm of the number of
     fingerprints, from ``least_bits``, so that cells stay small at any size;
     there are as many tables of keys as give pairs at distance ``design`` the
-    recall ``recall``; nearer pairs have more.
+    recall ``recall`` and pairs at the radius itself ``least_recall``; nearer
+    pairs have more.
     coordinates, bound: pairs whose distances to any of so many random
     references differ by more than ``bound`` are discarded. The triangle
     inequality makes ``bound = radius`` free of loss; 30 loses a pair at the
@@ -46,6 +47,7 @@ class Config:
     least_bits: int = 18
     design: int = 33
     recall: float = 0.97
+    least_recall: float = 0.9
     coordinates: int = 64
     bound: int = 30
     dense: int = 64
@@ -54,7 +56,7 @@ class Config:
     def layout(self, n: int) -> tuple[int, int]:
         """key_bits and tables for n fingerprints."""
         bits = max(self.least_bits, math.ceil(math.log2(max(n, 1))))
-        return bits, math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.design / BITS) ** bits))
+        return bits, max(math.ceil(math.log(1 - recall) / math.log(1 - math.comb(BITS - at, bits) / math.comb(BITS, bits))) for at, recall in ((self.design, self.recall), (self.radius, self.least_recall)))
 
 
 @lru_cache(maxsize=4)
