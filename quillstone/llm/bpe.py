@@ -1,14 +1,23 @@
-"""Byte-pair encoding by a token automaton; decoding by its arc labels.
-
-The automaton's arcs carry tokens. It begins as one state with a loop for each
-byte. Each merge (u, v) -> w, in order, is one gadget: wherever an arc u leads
-to a state with an arc v, an arc w is added to v's target; then u's target is
-split, and the copy that u leads to loses its arc v. Where an arc leads depends
-on its label alone, so the states are versions of "what may follow this token":
-a parent version less one arc. The paths of the finished automaton are exactly
-the token sequences that merging yields, and each string has one such path.
-A pre-split word is encoded from left to right by table lookups: for each of
-its prefixes, the last token of that prefix's path.
+"""Byte-pair encoding by a compiled token automaton; decoding by its arc labels.
+
+Gadgets. The token automaton begins as one state with a loop for each byte.
+Each merge (u, v) -> w, in order, is one gadget: wherever an arc u leads to a
+state with an arc v, an arc w is added to v's target; then u's target is split,
+and the copy that u leads to loses its arc v. Where an arc leads depends on its
+label alone, so each state is a chain of versions, a parent less one arc; the
+chain of token w's state is that of its right part's at w's time. The paths of
+the finished automaton are exactly the token sequences that merging yields, and
+each string has one such path.
+
+Transitions. Over bytes the automaton isn't deterministic, as a token may still
+go on while a shorter one has ended. It is made so by subsets: a state is the
+last token of the read prefix's one path and, for each place where a longer
+token may have begun, the token before it and the place in the labels' trie.
+(state, byte) -> state is a table; an entry is worked out from the gadgets when
+a text first needs it, and the table begins anew when it is full, so that its
+size doesn't follow the texts. Words are encoded by stepping through the table,
+all words of a block at once; the tokens at the ends of a word's path are then
+read back by their lengths. No word is compared with another or kept.
 """
 
 from __future__ import annotations
@@ -16,7 +25,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstone.llm.textkit import BYTE_CODES, blocks, buffers, expand, mix, prefix, spans_hash, tidy
+from quillstone.llm.textkit import blocks, buffers, expand, tidy
 
-#: Longer words are encoded one at a time; shorter ones together.
-_WIDE = 32
+#: Longer words are stepped through one at a time; shorter ones together.
+_WIDE = 64
+#: Bits of a trie node's number in a state's places.
+_NODE = 24
+_LOW = (1 << _NODE) - 1
 #: Bytes of text that are encoded at a time; what a worker holds grows with it.
 BLOCK = 1_500_000
 
@@ -36,10 +48,9 @@ BLOCK = 1_500_000
 class Automaton:
     """Compiled merges. Tokens are numbered as in the vocabulary.
 
-    left, right, birth: the merge that makes each token, -1 and 0 for bytes.
-    state: where a token's arc leads in the end. parent, cut, stamp: each
-    state's version it was split from, the arc that it lost, and when.
-    child, accept: the labels as a byte trie; row 0 is the dead node, 1 the root, the last that of all nodes without children.
+    left, right, birth: the merge that makes each token; -1 and 0 for bytes, birth -1 for tokens that no text gives.
+    state: where a token's arc leads in the end, as a version number.
+    trie_keys, trie_next, trie_token: the labels as a byte trie: node * 256 + byte, the node there, and each node's token or -1. Node 0 is the root.
     """
 
     labels: list[bytes]
@@ -47,49 +58,11 @@ class Automaton:
     right: np.ndarray
     birth: np.ndarray
     state: np.ndarray
-    parent: np.ndarray
-    cut: np.ndarray
-    stamp: np.ndarray
-    pair_keys: np.ndarray = field(default=None)
-    pair_times: np.ndarray = field(default=None)
-    sizes: np.ndarray = field(default=None)
-    child: np.ndarray = field(default=None)
-    accept: np.ndarray = field(default=None)
-    asked: np.ndarray = field(default=None)
-    said: np.ndarray = field(default=None)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("child", "accept", "asked", "said")}  # built again where it is used
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, child=None, accept=None, asked=None, said=None)
-
-    def tries(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.child is None:
-            table: list[dict[int, int]] = [{}, {}]
-            ends: dict[int, int] = {}
-            for t, label in enumerate(self.labels):
-                if self.birth[t] < 0:
-                    continue
-                node = 1
-                for b in label:
-                    nxt = table[node].get(b)
-                    if nxt is None:
-                        nxt = table[node][b] = len(table)
-                        table.append({})
-                    node = nxt
-                ends[node] = t
-            # nodes with children come first; the others, most of the trie, share one last row of zeros
-            inner = np.array([n < 2 or bool(kids) for n, kids in enumerate(table)])
-            place = np.where(inner, np.cumsum(inner) - 1, inner.sum() - 1 + np.cumsum(~inner))
-            child = np.zeros((int(inner.sum()) + 1, 256), np.int32)
-            for n, kids in enumerate(table):
-                if kids:
-                    child[place[n], list(kids)] = place[list(kids.values())]
-            accept = np.full(len(table), -1, np.int32)
-            accept[place[list(ends)]] = list(ends.values())
-            self.child, self.accept = child, accept
-        return self.child, self.accept
+    sizes: np.ndarray
+    trie_keys: np.ndarray
+    trie_next: np.ndarray
+    trie_token: np.ndarray
+    classes: np.ndarray
 
 
 def compile_merges(labels: list[bytes], merges: list[tuple[int, int, int]]) -> Automaton:
@@ -99,155 +72,226 @@ def compile_merges(labels: list[bytes], merges: list[tuple[int, int, int]]) -> A
     """
     n = len(labels)
     left, right, birth = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    state = np.zeros(n, np.int64)
+    state, versions = np.zeros(n, np.int64), 1
     for t, label in enumerate(labels):
         if len(label) == 1:
             birth[t] = 0
-    parent, cut, stamp = [-1], [-1], [0]
     for time, (u, v, w) in enumerate(merges, 1):
         left[w], right[w], birth[w] = u, v, time
         state[w] = state[v]  # w leads where v leads
-        parent.append(int(state[u]))
-        cut.append(v)
-        stamp.append(time)
-        state[u] = len(parent) - 1  # u now leads to a copy without v
-    keys = np.array([u * n + v for u, v, _ in merges], np.int64)
-    order = np.argsort(keys)
-    a = Automaton(labels, left, right, birth, state, np.array(parent), np.array(cut), np.array(stamp))
-    a.pair_keys, a.pair_times = keys[order], order + 1
-    a.sizes = np.array([len(x) for x in labels], np.int64)
-    return a
-
-
-def arcs(a: Automaton, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the state after token x has an arc y.
-
-    y's gadget added the arc only if y's left part was there at that time; x's
-    state began as that of its right part at x's time; and a gadget of (x, y)
-    cut it. So the question passes to earlier gadgets until it is settled.
-    """
-    n = len(a.labels)
-    out = np.ones(len(x), bool)
-    x, y = x.astype(np.int64), y.astype(np.int64)
-    when = np.full(len(x), len(a.parent) + 1, np.int64)
-    live = np.arange(len(x))
-    while len(live):
-        u, v, t = x[live], y[live], when[live]
-        key = u * n + v
-        at = np.minimum(np.searchsorted(a.pair_keys, key), len(a.pair_keys) - 1)
-        if len(a.pair_keys):
-            gone = (a.pair_keys[at] == key) & (a.pair_times[at] < t)
-        else:
-            gone = np.zeros(len(live), bool)
-        late = a.birth[v] > a.birth[u]
-        gone |= late & (a.left[v] == u) & (a.right[v] == u)  # u, uu: merging takes the left pair first
-        out[live[gone]] = False
-        go = ~gone & ((a.birth[u] > 0) | (a.birth[v] > 0))
-        live, u, v, late = live[go], u[go], v[go], late[go]
-        both = u == v  # a token after itself: its own gadget made the state and the arc
-        when[live] = np.where(late, a.birth[v], a.birth[u])
-        y[live] = np.where(late | both, a.left[v], v)
-        x[live] = np.where(late, u, a.right[u])
-    return out
+        state[u] = versions  # u now leads to a copy without v
+        versions += 1
+    step: dict[int, int] = {}
+    token = [-1]
+    for t, label in enumerate(labels):
+        if birth[t] < 0:
+            continue
+        node = 0
+        for b in label:
+            key = node << 8 | b
+            node = step.get(key)
+            if node is None:
+                node = step[key] = len(token)
+                token.append(-1)
+        token[node] = t
+    return Automaton(labels, left, right, birth, state, np.array([len(x) for x in labels], np.int64), np.array(list(step), np.int64), np.array(list(step.values()), np.int64), np.array(token, np.int64), _classes())
 
 
-def _arcs_once(a: Automaton, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """arcs(), through a table of transitions asked for before (one slot a hash)."""
-    if a.asked is None:
-        a.asked, a.said = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
-    key = a.state[x] * len(a.labels) + y  # tokens that lead to one state share its arcs
-    slot = (mix(key.astype(np.uint64)) & np.uint64(len(a.asked) - 1)).astype(np.int64)
-    out = a.said[slot]
-    miss = np.flatnonzero(a.asked[slot] != key)
-    if len(miss):
-        some, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
-        new = arcs(a, x[miss[first]], y[miss[first]])
-        out[miss] = new[back]
-        a.asked[slot[miss[first]]] = -1
-        a.said[slot[miss[first]]] = new
-        a.asked[slot[miss[first]]] = some
-        # where two keys fell into one slot, numpy kept the last of both arrays
-    return out
+class Transitions:
+    """The table (state, byte) -> state, filled from the gadgets on first need.
 
+    ``most`` bounds the states; beyond it the table begins anew.
+    """
 
-def _one(a: Automaton, word: bytes) -> list[int]:
-    """A long word: the same tables, one word at a time."""
-    child, accept = a.tries()
-    last = np.full(len(word) + 1, -1, np.int64)
-    ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
-    for i in range(len(word) + 1):
-        if i:
-            got = sorted(ends[i])  # from the farthest start: the longest token first
-            ok = np.array([s == 0 for s, _ in got]) | _arcs_once(a, last[[s for s, _ in got]], np.array([t for _, t in got]))
-            last[i] = got[int(np.argmax(ok))][1]
-            ends[i] = []
-        node = 1
-        for k in range(i, len(word)):
-            node = child[min(node, len(child) - 1), word[k]]
-            if not node:
+    def __init__(self, a: Automaton, most: int = 1 << 18):
+        self.a, self.most = a, most
+        self.left, self.right, self.birth, self.version = a.left.tolist(), a.right.tolist(), a.birth.tolist(), a.state.tolist()
+        self.pairs = {(self.left[t], self.right[t]): k for t, k in enumerate(self.birth) if k > 0}
+        self.child = dict(zip(a.trie_keys.tolist(), a.trie_next.tolist(), strict=True))
+        self.ends = a.trie_token.tolist()
+        inner = np.zeros(len(self.ends), bool)
+        inner[a.trie_keys >> 8] = True
+        self.inner = inner.tolist()
+        self.slots = 1 << max(10, (3 * most).bit_length())
+        self.begin()
+
+    def begin(self) -> None:
+        """One state: nothing read."""
+        self.number: dict[tuple[int, ...], int] = {}
+        self.body: list[tuple[int, ...]] = []
+        self.last = np.full(1024, -1, np.int32)
+        self.has: dict[tuple[int, int], bool] = {}
+        self.size = 0
+        self.keys = np.full(self.slots, -1, np.int64)
+        self.next = np.zeros(self.slots, np.int32)
+        self._state(-1, (0,))
+
+    def _state(self, token: int, open_: tuple[int, ...]) -> int:
+        """A state's number. open_: (token before + 1) << _NODE | node, from the longest to the root's; the last has the state's own token."""
+        n = self.number.get(open_)
+        if n is None:
+            n = self.number[open_] = len(self.body)
+            self.body.append(open_)
+            if n >= len(self.last):
+                self.last = np.r_[self.last, np.full(len(self.last), -1, np.int32)]
+            self.last[n] = token
+        return n
+
+    def arc(self, x: int, y: int) -> bool:
+        """Whether the state that token x leads to has an arc y.
+
+        y's gadget added the arc only if y's left part was there at that time;
+        x's chain of versions goes on with its right part's at x's time; and a
+        gadget of (x, y) cut it. So the question passes to earlier gadgets until
+        it is settled.
+        """
+        key = (self.version[x], y)
+        known = self.has.get(key)
+        if known is not None:
+            return known
+        left, right, birth, pairs = self.left, self.right, self.birth, self.pairs
+        when, out = 1 << 62, True
+        while True:
+            if pairs.get((x, y), when) < when:
+                out = False
                 break
-            if accept[node] >= 0:
-                ends[k + 1].append((i, int(accept[node])))
-    out, i = [], len(word)
-    while i:
-        out.append(int(last[i]))
-        i -= len(a.labels[last[i]])
-    return out[::-1]
-
-
-def encode_words(a: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of each word, flattened, and their offsets."""
-    child, accept = a.tries()
-    size = ends - starts
-    counts = np.zeros(len(starts), np.int64)
-    pieces: list[tuple[np.ndarray, np.ndarray]] = []  # (word, its tokens in reverse) for all lengths
-    for length in np.unique(size):
-        of = np.flatnonzero(size == length)
-        if length > _WIDE:
-            for w in of:
-                ids = np.array(_one(a, data[starts[w] : ends[w]].tobytes()), np.int64)
-                counts[w] = len(ids)
-                pieces.append((np.full(len(ids), w), ids[::-1]))
-            continue
-        for s in range(0, len(of), 16384):
-            part = of[s : s + 16384]
-            text = data[starts[part][:, None] + np.arange(length)]
-            last = np.full((length + 1, len(part)), -1, np.int64)
-            node = np.zeros((length, len(part)), np.int64)
-            for i in range(1, length + 1):
-                node[i - 1] = 1
-                node[:i] = child[np.minimum(node[:i], len(child) - 1), text[:, i - 1]]
-                token = accept[node[:i]]
-                for j in range(i):  # the longest token first
-                    rows = np.flatnonzero((token[j] >= 0) & (last[i] < 0))
-                    if len(rows):
-                        t = token[j, rows]
-                        if j:
-                            ok = _arcs_once(a, last[j, rows], t)
-                            rows, t = rows[ok], t[ok]
-                        last[i, rows] = t
-            at, rows = np.full(len(part), length), np.arange(len(part))
-            while len(rows):
-                t = last[at[rows], rows]
-                pieces.append((part[rows], t))
-                counts[part[rows]] += 1
-                at[rows] -= a.sizes[t]
-                rows = rows[at[rows] > 0]
-    off = np.r_[0, np.cumsum(counts)]
-    out = np.empty(off[-1], np.int32)
-    fill = off[1:].copy()
-    for w, t in pieces:
-        if len(w) and (len(w) == 1 or w[0] != w[-1]):  # one token of each word
-            fill[w] -= 1
-            out[fill[w]] = t
-        elif len(w):  # all tokens of one long word
-            out[off[w[0]] : off[w[0] + 1]] = t[::-1]
-    return out, off
+            bx, by = birth[x], birth[y]
+            if by > bx:
+                if left[y] == x == right[y]:  # u, uu: merging takes the left pair first
+                    out = False
+                    break
+                when, y = by, left[y]
+            elif bx:
+                when = bx
+                if x == y:  # a token after itself: its own gadget made the state and the arc
+                    y = left[y]
+                x = right[x]
+            else:
+                break
+        if len(self.has) < 4 * self.most:
+            self.has[key] = out
+        return out
+
+    def compile(self, state: int, byte: int) -> int:
+        """The state after one more byte: the places in the trie move on; of the
+        tokens that end here the one whose arc is there is the path's, the
+        longest that is being the only one."""
+        get, ends, inner = self.child.get, self.ends, self.inner
+        out, token = [], -1
+        for place in self.body[state]:
+            node = get((place & _LOW) << 8 | byte)
+            if node is None:
+                continue
+            if token < 0:
+                t, before = ends[node], place >> _NODE
+                if t >= 0 and (not before or self.arc(before - 1, t)):
+                    token = t
+            if inner[node]:
+                out.append(place & ~_LOW | node)
+        if token < 0:
+            raise ValueError(f"the vocabulary has no token for the byte {byte}")
+        out.append(token + 1 << _NODE)
+        return self._state(token, tuple(out))
+
+    def room(self) -> None:
+        """Begins anew where a block may not fit any more; called between blocks of words."""
+        if len(self.body) > self.most or 2 * self.size > self.slots:
+            self.begin()
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states, by the table."""
+        key = state.astype(np.int64) << 8 | byte
+        mask = self.slots - 1
+        slot = (key * 0x9E3779B1 >> 7) & mask
+        out = self.next[slot]
+        miss = np.flatnonzero(self.keys[slot] != key)
+        while len(miss):
+            at = slot[miss]
+            free = self.keys[at] < 0
+            if free.any():
+                fresh, back = np.unique(key[miss[free]], return_inverse=True)
+                made = np.fromiter((self._put(k) for k in fresh.tolist()), np.int32, len(fresh))
+                out[miss[free]] = made[back]
+                miss = miss[~free]
+                if not len(miss):
+                    break
+                at = slot[miss]
+            out[miss] = self.next[at]
+            miss = miss[self.keys[at] != key[miss]]
+            slot[miss] = (slot[miss] + 1) & mask
+        return out
+
+    def _put(self, key: int) -> int:
+        """The next state of one key, from the table or compiled into it."""
+        slot, keys = (key * 0x9E3779B1 >> 7) & (self.slots - 1), self.keys
+        while keys[slot] >= 0:
+            if keys[slot] == key:
+                return int(self.next[slot])
+            slot = (slot + 1) & (self.slots - 1)
+        if 4 * self.size > 3 * self.slots:  # one block with more transitions than the table is meant for
+            self._wider()
+            return self._put(key)
+        made = self.compile(key >> 8, key & 255)
+        keys[slot], self.next[slot] = key, made
+        self.size += 1
+        return made
+
+    def _wider(self) -> None:
+        kept = np.flatnonzero(self.keys >= 0)
+        old = list(zip(self.keys[kept].tolist(), self.next[kept].tolist(), strict=True))
+        self.slots *= 2
+        self.keys, self.next = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        for key, made in old:
+            slot = (key * 0x9E3779B1 >> 7) & (self.slots - 1)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (self.slots - 1)
+            self.keys[slot], self.next[slot] = key, made
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each byte of the words, the last token of the path up to it."""
+        self.room()
+        token = np.full(len(data), -1, np.int32)
+        size = ends - starts
+        order = np.argsort(-np.minimum(size, _WIDE + 1).astype(np.int16), kind="stable")
+        wide = int((size > _WIDE).sum())
+        for w in order[:wide].tolist():
+            state = 0
+            for at in range(int(starts[w]), int(ends[w])):
+                state = self._put(state << 8 | int(data[at]))
+                token[at] = self.last[state]
+                if len(self.body) > 4 * self.most:  # one very long word: its state is carried over
+                    body = self.body[state]
+                    self.begin()
+                    state = self._state(int(token[at]), body)
+        order = order[wide:]
+        at, size = starts[order], size[order]
+        alive = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
+        state = np.zeros(len(order), np.int32)
+        for i, n in enumerate(alive.tolist()):
+            here = at[:n] + i
+            state = self.step(state[:n], data[here])
+            token[here] = self.last[state]
+        return token
+
+
+def encode_words(table: Transitions, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the words, which cover ``data`` in their order, and the byte where each token ends."""
+    token = table.tokens(data, starts, ends)
+    final = np.zeros(len(data), bool)
+    at, low = ends - 1, starts
+    while len(at):
+        final[at] = True
+        at = at - table.a.sizes[token[at]]
+        go = at >= low
+        at, low = at[go], low[go]
+    where = np.flatnonzero(final)
+    return token[where], where
 
 
 # Pre-splitting. Classes: 0 other, 1 letter, 2 number, 3 white space.
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
+    """Of each code point; made on the driver and sent with the automaton."""
     out = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         k = unicodedata.category(chr(c))[0]
@@ -257,7 +301,7 @@ def _classes() -> np.ndarray:
     return out
 
 
-def presplit(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def presplit(data: np.ndarray, off: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pre-split words in UTF-8 texts (a word ends where the next
     begins), by the usual pattern
     's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+ ; and their texts."""
@@ -275,7 +319,7 @@ def presplit(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         three = ((c & 0x0F) << 12) | ((b[p + 1] & 0x3F) << 6) | (b[p + 2] & 0x3F)
         four = ((c & 0x07) << 18) | ((b[p + 1] & 0x3F) << 12) | ((b[p + 2] & 0x3F) << 6) | (b[p + 3] & 0x3F)
         code[wide] = np.where(c < 0xE0, two, np.where(c < 0xF0, three, np.minimum(four, 0x10FFFF)))
-    kind = _classes()[code]
+    kind = (_classes() if classes is None else classes)[code]
     n = len(at)
     begins = np.zeros(n + 1, bool)  # text limits, by character
     begins[np.searchsorted(at, off)] = True
@@ -303,52 +347,20 @@ def presplit(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Encoder:
-    """Encodes texts by words, each distinct word once a block, with a bounded store of words."""
+    """Encodes texts by words, through one table of transitions."""
 
-    def __init__(self, automaton: Automaton, store: int = 600_000):
-        self.a, self.store = automaton, store
-        self.keys, self.off, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+    def __init__(self, automaton: Automaton, most: int = 1 << 18):
+        self.a, self.table = automaton, Transitions(automaton, most)
         self.label_data = np.frombuffer(b"".join(automaton.labels), np.uint8)
         self.label_off = np.r_[0, np.cumsum(automaton.sizes)]
 
-    def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of distinct words (keys ascending), from the store where it has them."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~known)
-        ids, off = encode_words(self.a, data, starts[new], ends[new])
-        begin, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        begin[known], count[known] = self.off[at[known]], np.diff(self.off)[at[known]] if known.any() else 0
-        begin[new], count[new] = off[:-1] + len(self.ids), np.diff(off)
-        both = np.r_[self.ids, ids]
-        flat = both[expand(begin, count)]
-        if len(self.keys) + len(new) <= self.store and len(new):
-            k = np.r_[self.keys, keys[new]]
-            order = np.argsort(k)
-            b = np.r_[self.off[:-1], begin[new]][order]
-            c = np.r_[np.diff(self.off), count[new]][order]
-            self.keys, self.ids, self.off = k[order], both[expand(b, c)], np.r_[0, np.cumsum(c)]
-        return flat, np.r_[0, np.cumsum(count)]
-
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, flattened, and offsets by text."""
-        rows = len(off) - 1
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
-        starts, row = presplit(data, off)
-        ends = np.r_[starts[1:], len(data)]
-        hashes = spans_hash(prefix(BYTE_CODES[data]), starts, ends)
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        ids, at = self._words(data, starts[first], ends[first], keys)
-        count = np.diff(at)[back]
-        out = ids[expand(at[:-1][back], count)]
-        total = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
-        off_out = np.r_[0, np.cumsum(total)]
-        plain, _ = self.decode(out, off_out)
-        if len(plain) != len(data) or not np.array_equal(plain, data):  # two words under one 64-bit key
-            parts = [np.array([t for w in range(len(starts)) if row[w] == r for t in _one(self.a, data[starts[w] : ends[w]].tobytes())], np.int32) for r in range(rows)]
-            return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
-        return out, off_out
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        starts, _ = presplit(data, off, self.a.classes)
+        ids, where = encode_words(self.table, data, starts, np.r_[starts[1:], len(data)])
+        return ids, np.searchsorted(where, off, "left")
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The labels of the ids: bytes of all texts, and offsets by text."""

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.bpe import BLOCK, encoder, tokenizer
-from quillstone.llm.textkit import blocks, buffers, expand, tidy, whole_groups
+from quillstone.llm.textkit import blocks, buffers, expand, runs, tidy
 
 
 @dataclass(frozen=True)
 class Config:
     """capacity: tokens a window. eos: id put after each document (None: none).
-    pad: id that fills the rest of a window. shard_bytes: text that is packed
-    together; the number of shards follows the size of the table, and a
-    document's shard its id, so that the result doesn't depend on partitions."""
+    pad: id that fills the rest of a window. shard_docs: documents that are
+    packed together, half of it at least on average: a document's shard is the
+    low bits of its id's hash, as many as the table's row count needs. Where a
+    table grows past a power of two, shards split in two and no document
+    changes sides. shard_tokens: a shard with more than these, of very long
+    documents, is packed in so many parts, in order of its documents."""
 
     capacity: int = 2048
     eos: int | None = 50256
     pad: int = 50256
-    shard_bytes: int = 8_000_000
+    shard_docs: int = 4096
+    shard_tokens: int = 8_000_000
 
 
 #: From piece lengths (at most the capacity) and the capacity: window and offset of each.
@@ -69,8 +73,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
     Other columns are ignored, whatever their names.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // config.shard_bytes))
+    shards = 1 << max(0, -(-docs.count() // config.shard_docs) - 1).bit_length()  # reads row counts, no text
     sent = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", id_type), T.StructField("tokens", T.BinaryType())])
     result = T.StructType(
         [T.StructField("shard", T.LongType()), T.StructField("window", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("positions", T.BinaryType())]
@@ -94,40 +97,68 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
                 out = pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), body], sent.names)
                 yield out.filter(pa.array(np.diff(ends) > 0))
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+        """Each shard's documents, in order, by shard_tokens; and whether they begin a shard."""
+        held: list[pa.RecordBatch] = []
+        shard = part = None
+        seen, fresh = 0, True
+        for batch in batches:
+            for s, size in zip(*runs(np.asarray(batch.column(0))), strict=True):
+                mine = batch.slice(s, size)
+                if shard != mine.column(0)[0].as_py():
+                    if held:
+                        yield fresh, pa.Table.from_batches(held)
+                    held, shard, part, seen, fresh = [], mine.column(0)[0].as_py(), 0, 0, True
+                count = np.asarray(pc.binary_length(mine.column(2))).astype(np.int64) // kind.itemsize
+                which = (seen + np.cumsum(count) - count) // config.shard_tokens
+                seen += int(count.sum())
+                for a, n in zip(*runs(which), strict=True):
+                    if which[a] != part and held:
+                        yield fresh, pa.Table.from_batches(held)
+                        held, fresh = [], False
+                    part = which[a]
+                    held.append(mine.slice(a, n))
+        if held:
+            yield fresh, pa.Table.from_batches(held)
+
+    def rows_of(matrix: np.ndarray, a: int, b: int) -> pa.Array:
+        """Rows a to b of a matrix, each as bytes."""
+        part = np.ascontiguousarray(matrix[a:b])
+        off = np.arange(b - a + 1, dtype=np.int32) * (part.shape[1] * part.itemsize)
+        return pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(off), pa.py_buffer(part)])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "shard", 1):
-            shard_of = np.asarray(group["shard"])
-            for s in np.unique(shard_of):
-                t = group.filter(pc.equal(group["shard"], pa.scalar(s))).combine_chunks()
-                raw, off = buffers(t["tokens"])
-                w = assemble(np.ascontiguousarray(raw).view(kind), off // kind.itemsize, plan, config)
-                n, end = len(w["count"]), np.r_[0, np.cumsum(w["count"])]
-                ids = t["id"].combine_chunks()
-                for a in range(0, n, 1024):
-                    b = min(n, a + 1024)
-                    p = slice(end[a], end[b])
-                    lists = pa.array(end[a : b + 1] - end[a], pa.int32())
-                    # lengths of each window with a 0 before them, summed up within the window
-                    m = w["count"][a:b]
-                    total_ = np.cumsum(np.r_[0, w["length"][p]])
-                    cu_off = np.r_[0, np.cumsum(m + 1)]
-                    at = expand(end[a:b] - end[a], m + 1)
-                    cu = total_[at] - np.repeat(total_[end[a:b] - end[a]], m + 1)
-                    fixed = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.full(b - a, s)),
-                            pa.array(np.arange(a, b), pa.int32()),
-                            fixed(w["matrix"][a:b]),
-                            fixed(w["position"][a:b]),
-                            pa.ListArray.from_arrays(pa.array(cu_off, pa.int32()), pa.array(cu, pa.int32())),
-                            pa.ListArray.from_arrays(lists, ids.take(pa.array(w["doc"][p]))),
-                            pa.ListArray.from_arrays(lists, pa.array(w["start"][p], pa.int32())),
-                            pa.array(w["used"][a:b], pa.int32()),
-                            pa.array(config.capacity - w["used"][a:b], pa.int32()),
-                        ],
-                        result.names,
-                    )
+        done = 0
+        for fresh, t in parts(batches):
+            done = 0 if fresh else done
+            raw, off = buffers(t["tokens"])
+            w = assemble(np.ascontiguousarray(raw).view(kind), off // kind.itemsize, plan, config)
+            n, end = len(w["count"]), np.r_[0, np.cumsum(w["count"])]
+            ids = t["id"].combine_chunks()
+            for a in range(0, n, 1024):
+                b = min(n, a + 1024)
+                p = slice(end[a], end[b])
+                lists = pa.array(end[a : b + 1] - end[a], pa.int32())
+                # lengths of each window with a 0 before them, summed up within the window
+                m = w["count"][a:b]
+                sums = np.cumsum(np.r_[0, w["length"][p]])
+                cu_off = np.r_[0, np.cumsum(m + 1)]
+                cu = sums[expand(end[a:b] - end[a], m + 1)] - np.repeat(sums[end[a:b] - end[a]], m + 1)
+                yield pa.record_batch(
+                    [
+                        t["shard"].chunk(0).take(pa.array(np.zeros(b - a, np.int64))),
+                        pa.array(np.arange(done + a, done + b), pa.int32()),
+                        rows_of(w["matrix"], a, b),
+                        rows_of(w["position"], a, b),
+                        pa.ListArray.from_arrays(pa.array(cu_off, pa.int32()), pa.array(cu, pa.int32())),
+                        pa.ListArray.from_arrays(lists, ids.take(pa.array(w["doc"][p]))),
+                        pa.ListArray.from_arrays(lists, pa.array(w["start"][p], pa.int32())),
+                        pa.array(w["used"][a:b], pa.int32()),
+                        pa.array(config.capacity - w["used"][a:b], pa.int32()),
+                    ],
+                    result.names,
+                )
+            done += n
 
     shard = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000"))), F.lit(shards)).alias("shard")
     sent_rows = docs.select(shard, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(tokens), sent)

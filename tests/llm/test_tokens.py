@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm.bpe import Encoder, bpe_decode, bpe_encode, tokenizer
+from quillstone.llm.bpe import Encoder, bpe_decode, bpe_encode, compile_merges, encode_words, tokenizer
 from quillstone.llm.queries import TOKENIZER
 from quillstone.llm.slack_pack import fullest, minimum_slack, pack_min_slack
 from quillstone.llm.textkit import buffers
@@ -56,6 +56,55 @@ def test_same_ids_on_random_texts(own, reference, texts):
     assert encode(own, texts) == [reference.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_same_ids_when_the_table_begins_anew(reference, most):
+    small = Encoder(tokenizer(TOKENIZER), most)
+    for _ in range(2):
+        assert encode(small, TRICKY) == [reference.encode_ordinary(t) for t in TRICKY]
+
+
+def plain_merging(word, labels, merges):
+    """The definition: of all merges that apply, the first, leftmost, again and again."""
+    rank = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
+    ids = [labels.index(bytes([b])) for b in word]
+    while True:
+        found = [(rank[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank]
+        if not found:
+            return ids
+        (_, w), i = min(found)
+        ids[i : i + 2] = [w]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_small_vocabularies_against_plain_merging(seed):
+    rng = random.Random(seed)
+    labels, merges = [b"a", b"b", b"c"], []
+    while len(merges) < 14:  # merges as training would make them: each of two tokens that stand side by side
+        text = [rng.choice(b"abc") for _ in range(40)]
+        ids = plain_merging(bytes(text), labels, merges)
+        i = rng.randrange(len(ids) - 1) if len(ids) > 1 else 0
+        if len(ids) > 1 and labels[ids[i]] + labels[ids[i + 1]] not in labels:
+            labels.append(labels[ids[i]] + labels[ids[i + 1]])
+            merges.append((ids[i], ids[i + 1], len(labels) - 1))
+    own = Encoder(compile_merges(labels, merges))
+    for _ in range(150):
+        word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30)))
+        data = np.frombuffer(word, np.uint8)
+        ids, _ = encode_words(own.table, data, np.array([0]), np.array([len(data)]))
+        assert ids.tolist() == plain_merging(word, labels, merges)
+
+
+def test_shards_split_without_moving_others(spark):
+    config = Config(capacity=64, shard_docs=16)
+    shards = {}
+    for n in (60, 70, 200):
+        df = spark.createDataFrame([(i, f"text {i} " * 5) for i in range(n)], "doc_id long, text string")
+        shards[n] = {d: r.shard for r in pack_min_slack(df, TOKENIZER, config=config).collect() for d in r.doc_ids}
+    count = {n: 1 << max(0, -(-n // 16) - 1).bit_length() for n in shards}
+    for n, m in ((60, 70), (70, 200)):
+        assert all(shards[m][d] % count[n] == shards[n][d] for d in shards[n])
+
+
 def test_round_trip_table(spark):
     rows = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x"), (4, "long " * 50_000)]
     df = spark.createDataFrame([(*r, "extra", 0) for r in rows], "doc_id long, text string, ids string, n_tokens int")
@@ -66,6 +115,15 @@ def test_round_trip_table(spark):
     assert bpe_encode(df.limit(0), TOKENIZER).count() == 0
 
 
+def test_decoding_awkward_ids(spark):
+    ids = spark.createDataFrame([(1, [50_000_000]), (2, None)], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe_decode(ids, TOKENIZER).collect()
+    half = tokenizer(TOKENIZER).labels.index(b"\xc3")
+    broken = spark.createDataFrame([(1, [half]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, bpe_decode(broken, TOKENIZER).collect())) == [(1, "\ufffd"), (2, None), (3, "")]
+
+
 def naive_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
@@ -119,7 +177,7 @@ def test_fullest_is_brute_force():
 def test_nothing_is_lost(spark, own, pack):
     rows = [(i, f"document {i} " * (i * 7 % 40 + 1)) for i in range(60)] + [(70, "very long " * 3000), (71, None), (72, ""), (73, "twice"), (73, "twice"), (None, "no id")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, shard int, window string").repartition(5)
-    config = Config(capacity=128, shard_bytes=20_000)
+    config = Config(capacity=128, shard_docs=32, shard_tokens=4000)
     out = pack(df, TOKENIZER, config=config).collect()
     pieces, texts = {}, []
     for w in out:
@@ -152,7 +210,7 @@ def test_partitions_do_not_matter(spark):
 
 def test_matrices(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i} " * 30) for i in range(20)], "doc_id long, text string")
-    config = Config(capacity=64, shard_bytes=2000)
+    config = Config(capacity=64, shard_docs=5)
     packed = pack_best_fit(df, TOKENIZER, config=config)
     manifest = write_matrices(packed, str(tmp_path)).collect()
     assert sum(m.windows for m in manifest) == packed.count()
