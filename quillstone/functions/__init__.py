@@ -78,11 +78,11 @@ def sanitize_anchor(x: Column | str) -> Column:
 
 def test_target(name: Column | str) -> Column:
     n = col(name)
-    return F.when(n.startswith("Test"), F.substring(n, 5, 1_000_000)).otherwise(n)
+    return F.when(n.startswith("Test"), F.substr(n, F.lit(5))).otherwise(n)
 
 
 def lower_first(x: Column | str) -> Column:
-    return F.concat(F.lower(F.substring(col(x), 1, 1)), F.substring(col(x), 2, 1_000_000))
+    return F.concat(F.lower(F.substring(col(x), 1, 1)), F.substr(col(x), F.lit(2)))
 
 
 def is_table_test(body: Column | str) -> Column:
@@ -133,7 +133,7 @@ def signature_name(s: Column | str) -> Column:
 def signature_rest(s: Column | str) -> Column:
     """What follows the name, with its parenthesis; '' where there is none."""
     s = col(s)
-    return F.when(F.instr(s, "(") > 0, F.substring(s, F.instr(s, "("), F.lit(1_000_000))).otherwise("")
+    return F.when(F.instr(s, "(") > 0, F.substr(s, F.instr(s, "("))).otherwise("")
 
 
 def interface_code(name: Column | str, methods: Column | str, sources: Column | str) -> Column:
@@ -175,7 +175,7 @@ def naming_default(types: Column | str, signatures: Column | str) -> Column:
 
 def naming_prefix(types: Column | str, signatures: Column | str) -> Column:
     word = F.regexp_extract(F.get(col(signatures), F.lit(0)), "[A-Za-z0-9]+", 0)
-    return F.when(F.coalesce(word, F.lit("")) != "", F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1_000_000), F.lit("er"))).otherwise("Interface")
+    return F.when(F.coalesce(word, F.lit("")) != "", F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)), F.lit("er"))).otherwise("Interface")
 
 
 def naming_suffix(types: Column | str, signatures: Column | str) -> Column:
@@ -202,7 +202,7 @@ def parse_env(s: Column | str) -> Column:
 
 def relative_path(import_path: Column | str, module_path: Column | str) -> Column:
     p, m = col(import_path), col(module_path)
-    rest = F.substring(p, F.length(m) + 1, F.lit(1_000_000))
+    rest = F.substr(p, F.length(m) + 1)
     return F.when(F.startswith(p, m), F.regexp_replace(rest, "^/", "")).otherwise(p)
 
 
@@ -219,3 +219,28 @@ def receiver_text(r: Column | str) -> Column:
     r = col(r)
     t = F.concat(F.when(r["is_pointer"], "*").otherwise(""), r["type"])
     return F.when(r.isNull(), "").when(r["name"] == "", t).otherwise(F.concat(r["name"], F.lit(" "), t))
+
+
+def has_flag(args: Column | str, flag: str) -> Column:
+    """Whether an argument list holds a flag as it is; false for no list."""
+    return F.coalesce(F.array_contains(col(args), flag), F.lit(False))
+
+
+def contains(items: Column | str, item: Column | str) -> Column:
+    """Whether a list has an element; false for no list."""
+    return F.coalesce(F.array_contains(col(items), col(item)), F.lit(False))
+
+
+def types_for_method(by_method: Column | str, method: Column | str) -> Column:
+    """The types that a map of method to types has for one method; none where it has not."""
+    m = col(by_method)
+    return F.coalesce(F.try_element_at(m, col(method)), F.array().cast("array<string>"))
+
+
+def late_sources(sources: Column | str, readers: Column | str, writers: Column | str) -> Column:
+    """Source types with those of two further methods that aren't among them yet, order kept."""
+    return F.array_distinct(F.concat(col(sources), col(readers), col(writers)))
+
+
+def upper_first(x: Column | str) -> Column:
+    return F.concat(F.upper(F.substring(col(x), 1, 1)), F.substr(col(x), F.lit(2)))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.joins import first_match, interval_join
+from quillstone.schema import Model
 
 #: Which kind of element answers first where several hold a position.
 PRIORITY = ("type", "function", "variable", "constant", "import")
@@ -35,3 +38,25 @@ def line_column_in_text(text: Column | str, pos: Column | str) -> tuple[Column,
     t, p = (F.col(x) if isinstance(x, str) else x for x in (text, pos))
     lines = F.split(F.substring(t, F.lit(1), (p - 1).cast("int")), "\n")
     return F.size(lines), (F.length(F.element_at(lines, -1)) + 1).cast("long")
+
+
+def positions_of(model: Model, table: str) -> DataFrame:
+    """A table's rows with line_start, col_start, line_end and col_end in their file; null without a position.
+
+    One equi-join by file, for tables that have file_path; fields and methods
+    take their type's file.
+    """
+    rows = model.tables[table]
+    if "file_path" not in rows.columns:
+        home = model.types.select("import_path", F.col("name").alias("type_name"), "file_path")
+        rows = rows.join(home, ["import_path", "type_name"])
+    at = rows.join(model.files.select("import_path", "file_path", "line_starts"), ["import_path", "file_path"])
+    (l1, c1), (l2, c2) = line_column("start_pos", "line_starts"), line_column("end_pos", "line_starts")
+    return at.select(*rows.columns, l1.alias("line_start"), c1.cast("int").alias("col_start"), l2.alias("line_end"), c2.cast("int").alias("col_end"))
+
+
+def elements_of(model: Model) -> DataFrame:
+    """(file_path, kind, ord, name, start_pos, end_pos) of all elements of the model that a position can hold."""
+    kinds = {"type": model.types, "function": model.functions, "variable": model.variables, "constant": model.constants, "import": model.imports}
+    one = lambda k, df: df.select("file_path", F.lit(k).alias("kind"), "ord", F.col("path" if k == "import" else "name").alias("name"), "start_pos", "end_pos")
+    return reduce(DataFrame.unionByName, [one(k, df) for k, df in kinds.items()])

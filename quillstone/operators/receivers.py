@@ -44,15 +44,26 @@ def base_type_groups(methods: DataFrame) -> DataFrame:
 
 
 def common_methods(methods: DataFrame) -> DataFrame:
-    """Name and signature over more than one receiver type."""
-    g = methods.groupBy("name", "signature").agg(F.array_sort(F.collect_set("receiver_type")).alias("types"))
-    return g.filter(F.size("types") > 1)
+    """(name, signature, receiver_type) of name and signature over more than one receiver type.
+
+    A row for each type, so that a method that every type has is as many rows,
+    not one that grows. Which are common is told by the least and the greatest
+    type, collapsed before the exchange.
+    """
+    common = methods.groupBy("name", "signature").agg((F.min("receiver_type") != F.max("receiver_type")).alias("common")).filter("common").select("name", "signature")
+    return methods.select("name", "signature", "receiver_type").distinct().join(common, ["name", "signature"], "left_semi")
 
 
 def common_by_name(methods: DataFrame) -> DataFrame:
-    """One group a name: the largest, then that of the smallest signature."""
-    best = F.min_by(F.struct("signature", "types"), F.struct(-F.size("types"), "signature"))
-    return common_methods(methods).groupBy("name").agg(best.alias("b")).select("name", "b.signature", "b.types")
+    """(name, signature, n_types) of the common methods, one group a name: that of most types, then of the smallest signature."""
+    n = methods.select("name", "signature", "receiver_type").distinct().groupBy("name", "signature").agg(F.count("*").alias("n_types")).filter("n_types > 1")
+    best = F.min_by(F.struct("signature", "n_types"), F.struct(-F.col("n_types"), "signature"))
+    return n.groupBy("name").agg(best.alias("b")).select("name", "b.signature", "b.n_types")
+
+
+def listed(rows: DataFrame, keys: list[str], of: str, name: str) -> DataFrame:
+    """Sorted lists of ``of`` by key: for a report on few rows, as each list is one row."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(of)).alias(name))
 
 
 def method_signatures(methods: DataFrame, receiver_type: str) -> DataFrame:
@@ -68,19 +79,20 @@ def both_of(methods: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def extract_interfaces(methods: DataFrame, first: str = "Read", second: str = "Write") -> DataFrame:
-    """Candidates (name, methods 'name signature' joined, source_types).
+    """Candidates (interface_name, methods 'name signature' joined, source_type), a row for each source type.
 
     Where more than one type has both ``first`` and ``second``, these two make
-    one interface; every other common method makes one of its own.
+    one interface, with the signatures of its least type; every other common
+    method makes one of its own.
     """
     pair = both_of(methods, first, second)
-    joint = pair.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("receiver_type")).alias("types"), F.min_by(F.struct("first_signature", "second_signature"), "receiver_type").alias("s")).filter("n > 1")
+    joint = pair.agg(F.count("*").alias("n"), F.min_by(F.struct("first_signature", "second_signature"), "receiver_type").alias("s")).filter("n > 1")  # one row
     line = lambda n, s: F.concat(F.lit(n), F.col(s))
-    rw = joint.select(F.concat(F.lit(first), F.lit(second), F.lit("r" if second.endswith("e") else "er")).alias("interface_name"), F.concat_ws("; ", line(first, "s.first_signature"), line(second, "s.second_signature")).alias("methods"), "types")
-    single = common_by_name(methods).crossJoin(F.broadcast(joint.agg((F.count("*") > 0).alias("has_pair"))))
-    single = single.filter(~(F.col("has_pair") & F.col("name").isin(first, second)))
-    single = single.select(F.concat("name", F.lit("er")).alias("interface_name"), F.concat("name", "signature").alias("methods"), "types")
-    return rw.unionByName(single).select("interface_name", "methods", F.array_join("types", ",").alias("source_types"))
+    rw = pair.select("receiver_type").join(F.broadcast(joint)).select(F.lit(first + second + ("r" if second.endswith("e") else "er")).alias("interface_name"), F.concat_ws("; ", line(first, "s.first_signature"), line(second, "s.second_signature")).alias("methods"), F.col("receiver_type").alias("source_type"))
+    has = joint.agg((F.count("*") > 0).alias("has_pair"))
+    best = common_by_name(methods).join(F.broadcast(has)).filter(~(F.col("has_pair") & F.col("name").isin(first, second))).select("name", "signature")
+    single = methods.select("name", "signature", "receiver_type").distinct().join(best, ["name", "signature"], "left_semi")
+    return rw.unionByName(single.select(F.concat("name", F.lit("er")).alias("interface_name"), F.concat("name", "signature").alias("methods"), F.col("receiver_type").alias("source_type")))
 
 
 def intersect_keep(first: str, second: str):

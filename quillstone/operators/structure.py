@@ -45,7 +45,9 @@ def find_by_full_name(table: DataFrame, full_name: str) -> DataFrame:
     split = full_name.rfind(".")
     path, name = full_name[: max(split, 0)], full_name[split + 1 :]
     # equality on the columns themselves reaches the scan, unlike one on their concatenation
-    return table.filter((F.col("import_path") == path) & (F.col("name") == name))
+    found = table.filter((F.col("import_path") == path) & (F.col("name") == name))
+    order = [c for c in ("file_path", "ord", "type_id") if c in table.columns]
+    return found.orderBy(*order).limit(1) if order else found.limit(1)
 
 
 def find_by_name(table: DataFrame, import_path: str, name: str) -> DataFrame:
@@ -64,7 +66,8 @@ def types_without_methods(types: DataFrame, methods: DataFrame, key: str) -> Dat
 
 
 def walk_counts(types: DataFrame, fields: DataFrame, methods: DataFrame, functions: DataFrame, variables: DataFrame, constants: DataFrame, imports: DataFrame, include_private: bool = False) -> DataFrame:
-    """How many elements of each kind a walk visits under its default filters."""
+    """How many elements of each kind a walk over loose tables visits under its
+    default filters; :mod:`quillstone.render.walk` walks whole models."""
     private = F.lit(include_private)
     seen = [
         ("type", types.filter(F.col("is_exported") | private)),

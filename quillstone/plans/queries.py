@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone import functions as fn
-from quillstone.operators import joins, patterns, positions, receivers, structure, transform
+from quillstone.operators import joins, mutate, patterns, positions, receivers, structure, transform
 from quillstone.operators import tests as testing
-from quillstone.render import markup, scaffold
+from quillstone.render import documents, markup, report, scaffold, walk
 from quillstone.schema import Model
+from quillstone.sinks import source
+from quillstone.sources import jsonmodel, loader
 from quillstone.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,19 +55,30 @@ def interfaces_list(s, d):
     return structure.interfaces(t.types(s, d))
 
 
+def _first(df: DataFrame) -> str:
+    """The full name that sorts first: there is one at every scale."""
+    return df.agg(F.min(F.concat_ws(".", "import_path", "name")).alias("n")).first().n or ""
+
+
 @query
 def find_type(s, d):
-    return structure.find_by_full_name(t.types(s, d), "middle east/nation_19.Svc1Writer").select("import_path", "name", "kind", "doc")
+    types = t.types(s, d)
+    return structure.find_by_full_name(types, _first(types)).select("import_path", "name", "kind", "doc")
 
 
 @query
 def find_function(s, d):
-    return structure.find_by_full_name(t.functions(s, d), "economy/brand2.Smallring4").select("import_path", "name", "ord")
+    """The first declaration of that name."""
+    functions = t.functions(s, d)
+    return structure.find_by_full_name(functions, _first(functions)).select("import_path", "name", "file_path", "ord")
 
 
 @query
 def get_variable(s, d):
-    return structure.find_by_name(t.variables(s, d), "household", "V0").select("import_path", "file_path", "name", "value")
+    """All declarations of a package's variable."""
+    v = t.variables(s, d)
+    path, _, name = _first(v).rpartition(".")
+    return structure.find_by_name(v, path, name).select("import_path", "file_path", "name", "value")
 
 
 @query
@@ -88,18 +102,20 @@ for _name in ("group_receivers", "receiver_summary", "methods_per_type", "base_t
 
 @query
 def common_methods(s, d):
-    return receivers.common_methods(t.methods(s, d)).withColumn("types", _joined("types"))
+    return receivers.common_methods(t.methods(s, d))
 
 
 @query
 def common_by_name(s, d):
-    return receivers.common_by_name(t.methods(s, d)).withColumn("types", _joined("types"))
+    return receivers.common_by_name(t.methods(s, d))
 
 
 @query
 def interface_code(s, d):
-    c = receivers.common_by_name(t.methods(s, d))
-    return c.select("name", fn.interface_code(F.concat("name", F.lit("er")), F.create_map("name", "signature"), "types").alias("code"))
+    """Code of the interfaces that patterns give."""
+    lines = F.map_from_entries(F.transform("signatures", lambda x: F.struct(x, F.lit(""))))
+    coded = patterns.named_patterns(_typed(s, d)).withColumn("code", fn.interface_code("interface_name", lines, "types"))
+    return coded.select(_joined("signatures", ";").alias("signatures"), "code")
 
 
 @query
@@ -181,10 +197,21 @@ def test_patterns(s, d):
     return testing.test_patterns(t.tests(s, d), t.benchmarks(s, d))
 
 
+def _has(s, d):
+    """Functions with parameters and results by their size."""
+    one = lambda n, kind: F.struct(F.lit(n).alias("name"), F.lit(kind).alias("type"), F.lit(False).alias("is_variadic"))
+    none = F.array().cast("array<struct<name:string,type:string,is_variadic:boolean>>")
+    k = F.col("p_size")
+    results = F.when(k % 3 == 0, F.array(one("", "error"))).when(k % 3 == 1, F.array(one("", "int"), one("", "error"))).otherwise(none)
+    return t.functions(s, d).withColumn("parameters", F.when(k % 2 == 0, F.array(one("a", "int"))).otherwise(none)).withColumn("results", results)
+
+
 @query
 def test_template(s, d):
-    even, third = F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0
-    return t.functions(s, d).filter("NOT is_method").select("import_path", "name", scaffold.scaffold("name", even, even & third).alias("code")).distinct()
+    """A skeleton of each kind for every testable function that has no test."""
+    f = _has(s, d)
+    made = [scaffold.missing_scaffolds(t.tests(s, d), f, kind).withColumn("kind", F.lit(kind)) for kind in (*scaffold.KINDS, "unknown")]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query
@@ -202,9 +229,10 @@ def position_string(s, d):
 
 @query
 def line_column(s, d):
-    at = (1 + F.col("doc_id") * 31 % F.col("n_chars")).cast("long")
+    """Of a place in every text; an empty text has its first, a null one none."""
+    at = F.when(F.col("text").isNotNull(), 1 + F.coalesce(F.col("doc_id") * 31 % F.nullif(F.length("text"), F.lit(0)), F.lit(0))).cast("long")
     line, col = positions.line_column_in_text("text", at)
-    return t.read(s, d, "documents").filter("n_chars > 0").select("doc_id", at.alias("pos"), line.alias("line"), col.alias("col"))
+    return t.read(s, d, "documents").select("doc_id", at.alias("pos"), line.alias("line"), col.alias("col"))
 
 
 @query
@@ -248,7 +276,7 @@ _each(_documents, "doc_comment", lambda: ["doc_id", fn.doc_comment("text").alias
 _each(lambda s, d: t.read(s, d, "benchmark"), "format_code", lambda: ["item_id", fn.format_code(F.concat(F.lit("func F"), F.col("item_id").cast("string"), F.lit(' () { return "'), F.col("text"), F.lit('" }'))).alias("code")])
 _each(_pages, "sanitize_anchor", lambda: ["page_id", fn.sanitize_anchor("url").alias("anchor")])
 _each(t.types, "kind_class", lambda: ["name", fn.kind_class("kind").alias("css")])
-_each(lambda s, d: _documents(s, d).filter("text <> ''"), "split_csv", lambda: ["doc_id", F.array_join(fn.split_csv("text"), "|").alias("parts")])
+_each(_documents, "split_csv", lambda: ["doc_id", F.array_join(fn.split_csv("text"), "|").alias("parts")])
 _each(_pages, "env_vars", lambda: ["page_id", F.array_join(fn.parse_env(F.concat("url", F.lit(", A=1,,B=2 "))), "|").alias("env")])
 _each(t.types, "relative_path", lambda: ["name", fn.relative_path("import_path", F.lit("asia")).alias("path")])
 _each(t.variables, "exported", lambda: ["ord", fn.is_exported("name").alias("exported")])
@@ -275,7 +303,7 @@ def set_intersect(s, d):
 
 @query
 def set_except(s, d):
-    b = t.benchmarks(s, d).select("import_path", F.substring("name", 10, 1_000_000).alias("name"))
+    b = t.benchmarks(s, d).select("import_path", F.substr("name", F.lit(10)).alias("name"))
     return t.functions(s, d).select("import_path", "name").subtract(b)
 
 
@@ -290,25 +318,143 @@ def walk_counts(s, d):
 
 @query
 def render_markdown(s, d):
-    rows = t.types(s, d).filter("is_exported").select("import_path", "name", markup.markdown_type("name", "kind", "doc").alias("text"))
-    g = rows.groupBy("import_path").agg(markup.ordered_text(["name"], "text").alias("body"))
-    return g.select("import_path", F.concat(markup.markdown_package(F.element_at(F.split("import_path", "/"), 2)), "body").alias("document"))
+    """Whole documents: a package each, with its types, functions, variables and constants."""
+    return walk.package_documents(t.model(s, d), documents.MarkdownVisitor())
 
 
 @query
 def render_html(s, d):
-    return t.types(s, d).filter("is_exported").select("import_path", "name", markup.html_type("import_path", "name", "kind", "doc").alias("html"))
+    """A package each as HTML: its head with the lists of names, then its members."""
+    return walk.package_documents(t.model(s, d), documents.HtmlVisitor())
 
 
 @query
 def render_go_source(s, d):
-    rows = t.variables(s, d).select("file_path", "ord", markup.source_value("var", "name", "type", "value", "doc").alias("text"))
-    g = rows.groupBy("file_path").agg(markup.ordered_text(["ord"], "text").alias("body"))
-    return g.select("file_path", F.concat(F.lit("package demo\n\n"), "body").alias("source"))
+    """Whole source files: package clause, constants, variables, types, functions."""
+    return source.source_files(t.model(s, d)).select("import_path", "file_path", "folder", "source", "changed")
 
 
 @query
 def render_gomod(s, d):
-    rows = t.dependencies(s, d).withColumn("text", markup.require_line("path", "version", "indirect"))
-    body = rows.agg(markup.ordered_text(["path", "version", "indirect"], "text").alias("body"))
-    return body.select(F.concat(F.lit("module demo\n\ngo 1.23\n\nrequire (\n"), "body", F.lit(")\n")).alias("gomod"))
+    return source.manifest_text(t.model(s, d))
+
+
+@query
+def parse_go_source(s, d):
+    """Every file of the model printed, then parsed: the declarations that are found."""
+    files = source.source_files(t.model(s, d)).select(F.concat_ws("|", "import_path", "file_path").alias("path"), F.col("source").alias("text"))
+    parsed = loader.parse_sources(files)
+    m = loader.model_of(parsed, F.substring_index("file_path", "|", 1), loader.LoadOptions(placeholders=False))
+    rows = lambda kind, df, text: df.select(F.lit(kind).alias("kind"), "import_path", F.substring_index("file_path", "|", -1).alias("file_path"), "name", text.alias("text"), "is_exported", F.trim(F.replace("doc", F.lit("\n"), F.lit(" "))).alias("doc"))
+    value = F.concat_ws(" ", F.col("type"), F.col("value"))
+    kinds = rows("type", m.types, F.col("kind")).unionByName(rows("function", m.functions, F.col("signature"))).unionByName(rows("variable", m.variables, value)).unionByName(rows("constant", m.constants, value))
+    return kinds.unionByName(parsed.filter("error IS NOT NULL").select(F.lit("error").alias("kind"), F.lit("").alias("import_path"), "file_path", F.lit("").alias("name"), F.col("error").alias("text"), F.lit(False).alias("is_exported"), F.lit("").alias("doc")))
+
+
+@query
+def json_roundtrip(s, d):
+    """Every package as JSON and read again: what it declares, the last of each name."""
+    m = t.model(s, d)
+    texts = jsonmodel.package_views(m).select(F.to_json(F.struct(F.lit("demo").alias("Path"), F.create_map("import_path", "package").alias("Packages"))).alias("text"))
+    again = jsonmodel.model_from_json(s, texts)
+    one = lambda kind, df, text: df.select(F.lit(kind).alias("kind"), "import_path", "file_path", "name", F.col(text).alias("text"), "is_exported", "doc")
+    return one("type", again.types, "kind").unionByName(one("function", again.functions, "signature")).unionByName(one("variable", again.variables, "value")).unionByName(one("constant", again.constants, "value"))
+
+
+@query
+def visit_counts(s, d):
+    return walk.visit_counts(t.model(s, d))
+
+
+@query
+def structure_report(s, d):
+    """The lines of the report on each package."""
+    return report.structure_lines(t.model(s, d), include_private=True)
+
+
+@query
+def markdown_members(s, d):
+    """Functions, methods, variables and constants as Markdown, a row each."""
+    k = F.col("ord") % 3 == 0
+    f = t.functions(s, d).withColumn("signature", F.when(k, "").otherwise("(x int)"))
+    owner = F.when(F.col("is_exported"), "T")
+    own = f.filter("is_method").select(F.lit("method").alias("kind"), "ord", markup.markdown_function("name", "signature", "doc", owner).alias("text"))
+    plain = f.filter("NOT is_method").select(F.lit("function").alias("kind"), "ord", markup.markdown_function("name", "signature", "doc", fenced=False).alias("text"))
+    v = t.variables(s, d).select(F.lit("variable").alias("kind"), "ord", markup.markdown_value("var", "name", "type", "value", "doc").alias("text"))
+    c = t.constants(s, d).select(F.lit("constant").alias("kind"), F.col("ord").cast("long").alias("ord"), markup.markdown_value("const", "name", "type", "value", "doc").alias("text"))
+    return own.unionByName(plain).unionByName(v).unionByName(c)
+
+
+@query
+def html_members(s, d):
+    f = t.functions(s, d)
+    own = f.filter("is_method").select(F.lit("method").alias("kind"), "ord", markup.html_method("import_path", F.lit("T<K>"), "name", F.lit("(x int)"), "doc").alias("html"))
+    plain = f.filter("NOT is_method").select(F.lit("function").alias("kind"), "ord", markup.html_function("import_path", "name", F.lit("(x int)"), "doc").alias("html"))
+    v = t.variables(s, d).select(F.lit("variable").alias("kind"), "ord", markup.html_value("var", "import_path", "name", "type", "value", "doc").alias("html"))
+    c = t.constants(s, d).select(F.lit("constant").alias("kind"), F.col("ord").cast("long").alias("ord"), markup.html_value("const", "import_path", "name", "type", "value", "doc").alias("html"))
+    return own.unionByName(plain).unionByName(v).unionByName(c)
+
+
+@query
+def receiver_texts(s, d):
+    k = F.col("p_size")
+    r = F.when(k % 5 == 0, None).otherwise(F.struct(F.when(k % 2 == 0, "r").otherwise("").alias("name"), F.col("p_type").alias("type"), (k % 3 == 0).alias("is_pointer")))
+    return t.read(s, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", fn.receiver_text("r").alias("receiver"))
+
+
+@query
+def signature_split(s, d):
+    m = t.methods(s, d).select("type_id", F.when(F.col("type_id") % 5 == 0, F.col("name")).otherwise(F.concat("name", "signature")).alias("full"))
+    return m.select("type_id", "full", fn.signature_name("full").alias("name"), fn.signature_rest("full").alias("rest"))
+
+
+@query
+def visible_files(s, d):
+    k = F.col("ord")
+    files = t.functions(s, d).select("import_path", "file_path", "ord", (k % 3 == 0).alias("is_test"), (k % 4 == 0).alias("is_generated"))
+    return structure.visible(files).select("import_path", "file_path", "ord")
+
+
+@query
+def struct_methods(s, d):
+    """Methods of structs: the rows that pattern mining looks at."""
+    structs = t.types(s, d).filter("kind = 'struct'").select("type_id", "import_path", F.col("name").alias("type_name"))
+    return t.methods(s, d).join(structs, "type_id").select("import_path", "type_name", "name", "signature")
+
+
+@query
+def test_report(s, d):
+    return testing.report_lines(t.tests(s, d), t.benchmarks(s, d), t.functions(s, d))
+
+
+@query
+def list_contains(s, d):
+    """Membership: a flag in arguments, an element in a list, the types of a method."""
+    k = F.col("p_size")
+    args = F.array(F.lit("-v"), F.concat(F.lit("-run="), F.col("p_brand")), F.when(k % 2 == 0, "-short").otherwise("-race"))
+    by_method = F.create_map(F.lit("Read"), F.array(F.lit("A"), F.lit("B")), F.col("p_type"), F.array(F.col("p_brand")))
+    late = fn.late_sources(F.array(F.lit("A"), F.col("p_type")), F.array(F.lit("B"), F.lit("A")), F.array(F.lit("C")))
+    return t.read(s, d, "part").select("p_partkey", fn.has_flag(args, "-short").alias("short"), fn.contains(args, F.lit("-v")).alias("verbose"), F.array_join(fn.types_for_method(by_method, "p_type"), ",").alias("types"), F.array_join(fn.types_for_method(by_method, F.lit("Close")), ",").alias("none"), F.array_join(late, ",").alias("sources"))
+
+
+@query
+def parents(s, d):
+    """Declarations with their package and module."""
+    m = t.model(s, d)
+    return joins.with_parents(m, "variables").select("import_path", "name", "ord", "file_name", "package_name", "module_path")
+
+
+@query
+def upserted(s, d):
+    """Variables after those of one name were put in anew: a row for each package and name."""
+    v = t.model(s, d).variables
+    new = v.withColumn("value", F.lit("new")).filter("name IN ('V4', 'v7')")
+    return mutate.upsert(Model.of(s, variables=v), "variables", new).variables.select("import_path", "file_path", "name", "ord", "value")
+
+
+@query
+def chain_dry_run(s, d):
+    """The changes that a chain of two renames would make."""
+    v = t.model(s, d).variables
+    steps = transform.chain(transform.rename_variable("V4", "Global", dry_run=True), transform.rename_variable("v7", "local", dry_run=True), dry_run=True)
+    return steps(Model.of(s, variables=v))[1].changes

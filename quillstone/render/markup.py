@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions import col, doc_comment, format_code, kind_class, receiver_text, sanitize_anchor
+from quillstone.functions import col, doc_comment, format_code, html_escape, kind_class, receiver_text, sanitize_anchor
 
 
 def ordered_text(order: list[str], text: str) -> Column:
@@ -41,15 +41,21 @@ def markdown_type(name: Column | str, kind: Column | str, doc: Column | str, fen
 def markdown_function(name: Column | str, signature: Column | str, doc: Column | str, receiver: Column | str | None = None, fenced: bool = True) -> Column:
     """A function, or a method where ``receiver`` is given (null: without its type)."""
     n, s = col(name), col(signature)
-    title = F.concat(F.lit("### Function: "), n) if receiver is None else F.concat(F.lit("### Method: "), F.coalesce(F.concat(F.lit("("), col(receiver), F.lit(") ")), F.lit("")), n)
-    code = F.concat(F.lit("**Signature:**\n\n"), _block(F.concat(F.lit("func "), n, s), fenced)) if fenced else F.lit("")
+    owner = F.lit("") if receiver is None else F.coalesce(F.concat(F.lit("("), col(receiver), F.lit(") ")), F.lit(""))
+    title = F.concat(F.lit("### Function: " if receiver is None else "### Method: "), owner, n)
+    code = F.concat(F.lit("**Signature:** `"), s, F.lit("`\n\n"), _block(F.concat(F.lit("func "), owner, n, s), fenced))
     return F.concat(title, F.lit("\n\n"), _paragraph(col(doc)), F.when(s != "", code).otherwise(""))
 
 
 def markdown_value(word: str, name: Column | str, type_: Column | str, value: Column | str, doc: Column | str, fenced: bool = True) -> Column:
-    """A variable (word 'var') or constant ('const')."""
+    """A variable (word 'var', shown without its value) or constant ('const')."""
+    n, t, v = col(name), col(type_), col(value)
     title = {"var": "### Variable: ", "const": "### Constant: "}[word]
-    return F.concat(F.lit(title), col(name), F.lit("\n\n"), _paragraph(col(doc)), _block(value_line(word, name, type_, value), fenced))
+    facts = F.concat(F.lit("**Type:** "), t, F.lit("\n\n"))
+    code = F.concat(F.lit(f"{word} "), n, F.lit(" "), t)
+    if word == "const":
+        facts, code = F.concat(facts, F.lit("**Value:** "), v, F.lit("\n\n")), F.concat(code, F.lit(" = "), v)
+    return F.concat(F.lit(title), n, F.lit("\n\n"), _paragraph(col(doc)), facts, _block(code, fenced))
 
 
 def value_line(word: str, name: Column | str, type_: Column | str, value: Column | str) -> Column:
@@ -57,27 +63,34 @@ def value_line(word: str, name: Column | str, type_: Column | str, value: Column
     return F.concat(F.lit(word + " "), col(name), F.when(t != "", F.concat(F.lit(" "), t)).otherwise(""), F.when(v != "", F.concat(F.lit(" = "), v)).otherwise(""))
 
 
-def _html(anchor: Column, css: Column, title: Column, doc: Column, code: Column, word: str) -> Column:
+def _html(anchor: Column, css: Column, title: Column, doc: Column, code: Column, word: str, part: str, nested_quotes: bool = True) -> Column:
     note = F.when(doc != "", F.concat(F.lit('  <div class="doc-comment">'), doc_comment(doc), F.lit("</div>\n"))).otherwise("")
     return F.concat(
-        F.lit('<div id="'), sanitize_anchor(anchor), F.lit('" class="'), css, F.lit(f'">\n  <h4 class="{word}-name">'), title, F.lit("</h4>\n"), note,
-        F.lit(f'  <div class="{word}-def">\n    <pre class="code">'), format_code(code), F.lit("</pre>\n  </div>\n</div>\n"),
+        F.lit('<div id="'), sanitize_anchor(anchor), F.lit('" class="'), css, F.lit(f'">\n  <h4 class="{word}-name">'), html_escape(title), F.lit("</h4>\n"), note,
+        F.lit(f'  <div class="{word}-{part}">\n    <pre class="code">'), format_code(code, nested_quotes), F.lit("</pre>\n  </div>\n</div>\n"),
     )
 
 
 def html_type(import_path: Column | str, name: Column | str, kind: Column | str, doc: Column | str) -> Column:
     n = col(name)
-    return _html(F.concat_ws(".", col(import_path), n), F.concat(F.lit("type "), kind_class(kind)), F.concat(F.lit("type "), n), col(doc), F.concat(F.lit("type "), n, F.lit(" "), col(kind)), "type")
+    return _html(F.concat_ws(".", col(import_path), n), F.concat(F.lit("type "), kind_class(kind)), F.concat(F.lit("type "), n), col(doc), F.concat(F.lit("type "), n, F.lit(" "), col(kind)), "type", "def")
 
 
 def html_function(import_path: Column | str, name: Column | str, signature: Column | str, doc: Column | str) -> Column:
     n = col(name)
-    return _html(F.concat_ws(".", col(import_path), n), F.lit("function"), F.concat(F.lit("func "), n), col(doc), F.concat(F.lit("func "), n, col(signature)), "function")
+    return _html(F.concat_ws(".", col(import_path), n), F.lit("function"), F.concat(F.lit("func "), n), col(doc), col(signature), "function", "signature")
+
+
+def html_method(import_path: Column | str, type_name: Column | str, name: Column | str, signature: Column | str, doc: Column | str) -> Column:
+    """A method below its type; 'receiver' stands for a type without a name."""
+    t, n = col(type_name), col(name)
+    owner = F.when(t == "", "receiver").otherwise(t)
+    return _html(F.concat_ws(".", col(import_path), t, n), F.lit("method"), F.concat(F.lit("func ("), owner, F.lit(") "), n), col(doc), col(signature), "method", "signature")
 
 
 def html_value(word: str, import_path: Column | str, name: Column | str, type_: Column | str, value: Column | str, doc: Column | str) -> Column:
-    n = col(name)
-    return _html(F.concat_ws(".", col(import_path), n), F.lit({"var": "variable", "const": "constant"}[word]), F.concat(F.lit(word + " "), n), col(doc), value_line(word, name, type_, value), "value")
+    n, kind = col(name), {"var": "variable", "const": "constant"}[word]
+    return _html(F.concat_ws(".", col(import_path), n), F.lit(kind), F.concat(F.lit(word + " "), n), col(doc), value_line(word, name, type_, value), kind, "def")
 
 
 def commented(doc: Column | str) -> Column:

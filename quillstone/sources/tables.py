@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import upper_first
+from quillstone.schema import DDL, Model, filled, rows
+
 SUFFIX = ("Reader", "Writer", "Handler", "Processor", "Service", "Controller", "Impl")
 
 
@@ -12,10 +17,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def upper_first(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))
-
-
 def _pick(key: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
@@ -117,15 +118,22 @@ def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as elements one after another; a source is a file."""
+def elements(spark: SparkSession, sf_dir: str, block: int = 256) -> DataFrame:
+    """Documents as elements one after another; a source is a file.
+
+    Positions are running sums in two levels: within blocks of neighbouring
+    ids, and over the blocks' sums, so that no task holds a whole source.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("source").orderBy("doc_id")
     d = F.col("doc_id")
     kind = _pick(d, ("type", "function", "variable", "constant", "import"))
-    before = F.coalesce(F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").select(F.col("source").alias("file_path"), d.alias("ord"), kind.alias("kind"), d.cast("string").alias("name"), (before + 1).alias("start_pos"), (before + F.col("n_chars") + 200).alias("end_pos"))
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars")).withColumn("block", F.floor(d / block))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("source", "block").agg(F.sum("n_chars").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(blocks, ["source", "block"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n_chars").over(within), F.lit(0)))
+    return rows.select(F.col("source").alias("file_path"), d.alias("ord"), kind.alias("kind"), d.cast("string").alias("name"), (F.col("before") + 1).alias("start_pos"), (F.col("before") + F.col("n_chars") + 200).alias("end_pos"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +143,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as a test log, in order of event."""
-    word = F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100))
+    word = upper_first("event_type")
     line = F.concat(F.lit("--- "), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS"), F.lit(": Test"), word, F.col("event_id").cast("string"), F.lit(" (0.00s)"))
     rows = F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))
     return read(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("r")).select("user_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("output"))
@@ -148,3 +156,32 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.concat(F.lit("mod/"), F.col("o_orderpriority")).alias("path"), F.concat(F.lit("v"), (F.col("o_custkey") % 10).cast("string")).alias("version"), (F.col("o_orderstatus") == "P").alias("indirect")).distinct()
+
+
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as constants; a nation is a file of its package."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("nations/n"), (F.col("s_nationkey") % 5).cast("string")).alias("import_path"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".go")).alias("file_path"), k.cast("int").alias("ord"),
+        F.concat(F.when(k % 3 == 0, "C").otherwise("c"), k.cast("string")).alias("name"), F.when(k % 2 == 0, "int").otherwise("").alias("type"), (k * 7).cast("string").alias("value"), (k % 3 == 0).alias("is_exported"), F.when(k % 4 == 0, "A constant\nof two lines").otherwise("").alias("doc"),
+    )
+
+
+def model(spark: SparkSession, sf_dir: str) -> Model:
+    """The tables as one module of whole source files: types with their place, functions, values."""
+    zero = F.lit(0).cast("long")
+    place = F.concat(F.lit("t"), (F.col("type_id") % 10).cast("string"), F.lit(".go"))
+    t = types(spark, sf_dir).select("import_path", place.alias("file_path"), F.col("type_id").cast("int").alias("ord"), "name", "kind", F.when(F.col("kind") == "type", "string").otherwise("").alias("underlying"), "is_exported", "doc", zero.alias("start_pos"), zero.alias("end_pos"))
+    f = functions(spark, sf_dir).filter("NOT is_method")
+    f = f.select("import_path", "file_path", F.col("ord").cast("int").alias("ord"), F.col("name").alias("func_key"), "name", F.lit("(x int) error").alias("signature"), F.lit("\treturn nil\n").alias("body"), "doc", "is_exported", "is_method")
+    v = variables(spark, sf_dir).select("import_path", "file_path", F.col("ord").cast("int").alias("ord"), "name", "type", "value", "is_exported", "doc")
+    c = constants(spark, sf_dir)
+    found = {"types": filled(t, "types"), "functions": filled(f, "functions"), "variables": filled(v, "variables"), "constants": filled(c, "constants")}
+    files = reduce(DataFrame.unionByName, [df.select("import_path", "file_path") for df in found.values()]).distinct()
+    found["files"] = filled(files.withColumn("name", F.substring_index("file_path", "/", -1)), "files")
+    last = F.regexp_replace(F.substring_index("import_path", "/", -1), "[^0-9A-Za-z_]", "")
+    found["packages"] = filled(files.select("import_path").distinct().select(F.lit("demo").alias("module_path"), "import_path", last.alias("name"), F.concat(F.lit("About "), "import_path").alias("documentation")), "packages")
+    d = dependencies(spark, sf_dir).select(F.lit("demo").alias("module_path"), F.lit(0).alias("ord"), F.concat_ws("@", "path", "version", F.col("indirect").cast("string")).alias("path"), "version", "indirect")
+    found["dependencies"] = filled(d, "dependencies")
+    found["modules"] = rows(spark, "modules", [{"module_path": "demo", "go_version": "1.23"}])
+    return Model({k: found[k] if k in found else rows(spark, k) for k in DDL})

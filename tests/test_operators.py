@@ -33,15 +33,15 @@ def test_receivers(methods):
     assert ("*User", "User", True, 1, "Login") in g and ("Guest", "Guest", False, 2, "Login,Name") in g
     assert tuple(receivers.receiver_summary(methods).first()) == (5, 4, 2, 3)
     assert got(receivers.base_type_groups(methods)) == [("Admin", 1), ("Guest", 2), ("User", 2)]
-    assert got(receivers.common_methods(methods)) == [("Login", "(p string) error", ["*Admin", "*User", "Guest"]), ("Name", "() string", ["Guest", "User"])]
+    assert got(receivers.listed(receivers.common_methods(methods), ["name", "signature"], "receiver_type", "types")) == [("Login", "(p string) error", ["*Admin", "*User", "Guest"]), ("Name", "() string", ["Guest", "User"])]
+    assert got(receivers.common_by_name(methods)) == [("Login", "(p string) error", 3), ("Name", "() string", 2)]
     assert receivers.common_methods(methods.limit(0)).count() == 0
 
 
 def test_read_writer(spark):
     both = [(t, n, "(b []byte) (int, error)") for t in ("A", "B", "C") for n in ("Read", "Write")] + [(t, "Close", "() error") for t in ("A", "B")]
     out = got(receivers.extract_interfaces(spark.createDataFrame(both, "receiver_type string, name string, signature string")))
-    assert [x[0] for x in out] == ["Closeer", "ReadWriter"]
-    assert out[1][2] == "A,B,C"
+    assert [(x[0], x[2]) for x in out] == [("Closeer", "A"), ("Closeer", "B"), ("ReadWriter", "A"), ("ReadWriter", "B"), ("ReadWriter", "C")]
 
 
 def test_prefix_pairs_is_naive(spark):
@@ -55,8 +55,9 @@ def test_prefix_pairs_is_naive(spark):
 def test_interval_join_is_naive(spark, width):
     spans = spark.createDataFrame([("f", i, i * 5, i * 5 + (i * 7) % 23) for i in range(40)] + [("f", 99, 9, 3)], "file string, id int, a long, b long")
     probes = spark.createDataFrame([("f", i) for i in range(0, 230, 3)] + [("g", 5)], "file string, pos long")
+    spans = spans.union(spark.createDataFrame([("f", 100, -7, 10**12), ("f", 101, 3, 180)], spans.schema))
     naive = probes.join(spans, "file").filter("pos BETWEEN a AND b")
-    assert got(joins.interval_join(probes, "pos", spans, "a", "b", ["file"], width), "pos", "id") == got(naive, "pos", "id")
+    assert got(joins.interval_join(probes, "pos", spans, "a", "b", ["file"], width, 4, 20), "pos", "id") == got(naive, "pos", "id")
 
 
 def test_element_priority(spark):
@@ -138,6 +139,67 @@ def test_renderers(spark):
         assert text.startswith("func TestT(t *testing.T) {\n") and text.endswith("}\n") and text.count("{") == text.count("}")
 
 
+SHAPES = [
+    ("None", [], [], "()", ""), ("In", [("a", "int", False)], [], "(a int)", ""), ("Out", [], [("", "error", False)], "() error", "error"), ("Both", [("a", "int", False), ("b", "string", False)], [("", "bool", False)], "(a int, b string) bool", "bool"),
+    ("Many", [], [("", "int", False), ("", "error", False)], "() (int, error)", "(int, error)"), ("Dots", [("a", "int", True)], [], "(a ...int)", ""), ("Named", [], [("n", "int", False), ("err", "error", False)], "() (n int, err error)", "(n int, err error)"), ("One", [], [("n", "int", False)], "() n int", "int"),
+]
+
+
+def test_signatures_and_scaffolds(spark):
+    p = lambda xs: [{"name": a, "type": b, "is_variadic": c} for a, b, c in xs]
+    f = rows(spark, "functions", [{"import_path": "p", "name": n, "func_key": n, "parameters": p(i), "results": p(o)} for n, i, o, _, _ in SHAPES])
+    got_ = {r.name: (r.s, r.t) for r in f.select("name", fn.signature("parameters", "results").alias("s"), fn.return_type("results").alias("t")).collect()}
+    assert got_ == {n: (s, t) for n, _, _, s, t in SHAPES}
+    tests = spark.createDataFrame([("p", "TestIn", "")], "import_path string, name string, body string")
+    made = {k: {r.name: r.code for r in scaffold.missing_scaffolds(tests, f, k).collect()} for k in ("basic", "table", "parallel", "what")}
+    assert made["basic"].keys() == {n for n, *_ in SHAPES} - {"In"} and made["what"] == made["basic"]
+    for n, i, o, s, t in SHAPES:
+        if n == "In":
+            continue
+        for k, code in ((k, made[k][n]) for k in ("basic", "table", "parallel")):
+            assert code.startswith(f"func Test{n}(t *testing.T) {{\n") and f"\t// func {n}{s}\n" in code and code.count("{") == code.count("}")
+            assert ("// got := " in code) == bool(i or o) and (f"{n}(...)" in code) == bool(i)
+            assert code.count("t.Parallel()") == (2 if k == "parallel" else 0) and ("t.Run(row.name" in code) == (k != "basic")
+        assert (f"; want {t} }}" in made["table"][n]) == (len(o) == 1) and (f"want, a {t}\n" in made["basic"][n]) == bool(o)
+
+
+def test_reports_of_packages(spark):
+    tests = spark.createDataFrame([("p", "TestAdd", "cases := []int{}"), ("p", "TestNone", "x")], "import_path string, name string, body string")
+    funcs = spark.createDataFrame([("p", "Add", False), ("p", "Lone", False)], "import_path string, name string, is_method boolean")
+    bench = spark.createDataFrame([("p", "BenchmarkAdd")], "import_path string, name string")
+    r = testing.package_report(tests, bench, funcs)
+    assert got(r["map"], "test_name", "function_name") == [("TestAdd", "Add")] and got(r["unmapped"], "name") == [("TestNone",)]
+    assert r["summary"].first().coverage == 50.0 and got(r["patterns"], "pattern", "n_tests") == [("Functions with Benchmarks", 1), ("Table-Driven Tests", 1)]
+    off = testing.package_report(tests, bench, funcs, include_tests=False)
+    assert off["tests"].count() == 0 and off["map"].count() == 0 and off["patterns"].count() == 0
+    assert ("p", "summary", "tested", "1") in got(testing.report_lines(tests, bench, funcs))
+
+
+def test_members_and_membership(spark):
+    df = spark.createDataFrame([(["-v", "x"], {"Read": ["A"]}, ["A"], ["B", "A"], ["C"])], "args array<string>, m map<string,array<string>>, s array<string>, r array<string>, w array<string>")
+    row = df.select(fn.has_flag("args", "-v"), fn.has_flag("args", "-"), fn.types_for_method("m", F.lit("Read")), fn.types_for_method("m", F.lit("No")), fn.late_sources("s", "r", "w")).first()
+    assert tuple(row) == (True, False, ["A"], [], ["A", "B", "C"])
+    r = spark.createDataFrame([(("r", "T", True),), (("", "T", True),), (("r", "T", False),), (None,)], "r struct<name:string,type:string,is_pointer:boolean>")
+    assert [x[0] for x in r.select(fn.receiver_text("r")).collect()] == ["r *T", "*T", "r T", ""]
+
+
+def test_files_that_are_seen(spark):
+    model = Model.of(spark, files=[{"file_path": "a.go"}, {"file_path": "t.go", "is_test": True}, {"file_path": "g.go", "is_generated": True}], packages=[{"module_path": "m", "import_path": "", "name": "p"}])
+    assert got(structure.visible(model.files), "file_path") == [("a.go",)] and structure.visible(model.files, True, True).count() == 3
+    assert got(joins.with_parents(model, "files"), "file_path", "package_name", "module_path") == [(f, "p", "m") for f in ("a.go", "g.go", "t.go")]
+
+
+def test_new_interfaces_follow_the_file(spark):
+    model = _model(spark)
+    out = patterns.extract(model)
+    assert got(out.types.filter("kind = 'interface'"), "file_path", "ord") == [("a.go", 3)] and got(out.files.filter("is_modified"), "file_path") == [("a.go",)]
+    other = model.with_tables(packages=rows(spark, "packages", [{"import_path": "m/a"}, {"import_path": "m/only"}]))
+    assert got(patterns.extract(other, patterns.Options(target_package="m/only")).types.filter("kind = 'interface'"), "import_path") == [("m/only",)]
+    assert got(patterns.extract(other, patterns.Options(target_package="m/none")).types.filter("kind = 'interface'"), "import_path") == [("m/a",)]
+    named = patterns.extract(model, patterns.Options(naming=lambda types, signatures: F.concat(F.lit("Custom"), F.get(types, F.lit(0)))))
+    assert got(named.types.filter("kind = 'interface'"), "name") == [("CustomBufferReader",)]
+
+
 def test_rows_refuses_unknown(spark):
     with pytest.raises(ValueError):
         rows(spark, "types", [{"nope": 1}])
