@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.schema import Model
 
 
-def prefix_pairs(left: DataFrame, text: str, right: DataFrame, prefix: str, keys: list[str], how: str = "inner") -> DataFrame:
-    """Rows of left and right (equal in ``keys``) where right's ``prefix`` begins left's ``text``.
-
-    Every prefix of the left text is a row, so that the join is an equi-join of
-    hash partitions; as an OR or LIKE condition it would compare all with all.
-    Prefix '' matches every text.
-    """
-    n = F.length(text)
-    cut = left.withColumn("_cut", F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(F.col(text), F.lit(1), k))))
-    r = right.withColumn("_cut", F.col(prefix))
-    return cut.join(r, [*keys, "_cut"], how).drop("_cut")
+def prefixes(text: str, name: str) -> Column:
+    """Explodes a text into all its prefixes, '' and itself among them, so that
+    "begins with" is an equi-join of hash partitions; as a LIKE condition it
+    would compare all with all."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.length(text)), lambda k: F.substring(F.col(text), F.lit(1), k))).alias(name)
 
 
 def interval_join(probes: DataFrame, pos: str, spans: DataFrame, start: str, stop: str, keys: list[str], width: int = 4096, fan: int = 64, levels: int = 5) -> DataFrame:

@@ -27,19 +27,6 @@ def interfaces(types: DataFrame) -> DataFrame:
     return types.filter("kind = 'interface'").select("import_path", "name", F.lit("").alias("implementors"))
 
 
-def implementors(methods: DataFrame, type_col: str = "receiver_type") -> DataFrame:
-    """Extension: (interface, implementor) where a type's method set holds the interface's.
-
-    ``methods``: rows (owner, is_interface_method, name, signature) with
-    ``type_col`` as the owner. Relational division by counting matches.
-    """
-    need = methods.filter("is_interface_method").select(F.col(type_col).alias("interface"), "name", "signature").distinct()
-    have = methods.filter("NOT is_interface_method").select(F.col(type_col).alias("implementor"), "name", "signature").distinct()
-    size = need.groupBy("interface").agg(F.count("*").alias("_need"))
-    got = need.join(have, ["name", "signature"]).groupBy("interface", "implementor").agg(F.count("*").alias("_got"))
-    return got.join(size, "interface").filter("_got = _need").select("interface", "implementor")
-
-
 def find_by_full_name(table: DataFrame, full_name: str) -> DataFrame:
     """The row whose 'import_path.name' is the given one; the first by order where several are."""
     split = full_name.rfind(".")

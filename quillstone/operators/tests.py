@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import is_bdd, is_parallel, is_table_test, log_count, log_tests, lower_first, test_target
+from quillstone.operators.joins import prefixes
 
 # Tests are rows (import_path, name, body); functions (import_path, name, is_method, ...).
 
@@ -46,8 +47,8 @@ def has_benchmark(tests: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Tests for whose target some benchmark's name begins with 'Benchmark' and it."""
     t = tests.select("import_path", "name", test_target("name").alias("target"))
     b = benchmarks.filter(F.col("name").startswith("Benchmark")).select("import_path", F.substr("name", F.lit(10)).alias("_b"))
-    # here the benchmark is the longer text: its prefixes meet the targets
-    cut = b.select("import_path", F.explode(F.transform(F.sequence(F.lit(0), F.length("_b")), lambda k: F.substring(F.col("_b"), F.lit(1), k))).alias("target")).distinct()
+    # the benchmark is the longer text: its prefixes meet the targets
+    cut = b.select("import_path", prefixes("_b", "target")).distinct()
     return t.join(cut.withColumn("has_benchmark", F.lit(True)), ["import_path", "target"], "left").select("import_path", "name", F.coalesce("has_benchmark", F.lit(False)).alias("has_benchmark"))
 
 
