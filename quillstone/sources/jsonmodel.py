@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions import is_exported_unicode
 from quillstone.operators.joins import last_wins
 from quillstone.schema import DDL, Model, filled, rows
 
