@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,42 +20,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Falls back to a local folder only where the cluster names none (tests).
+    Where it names none and the master is local, as in tests, a temporary
+    folder is made; on a cluster that is an error, as no machine would see
+    another's.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="quillstone-")
+        if known.isDefined():
+            conf = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            conf = tempfile.mkdtemp(prefix="quillstone-")
+            atexit.register(shutil.rmtree, conf, ignore_errors=True)
+        else:
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+#: Bytes of rows that go to or from a Python worker at a time.
+BATCH = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes rather than rows, so that ten thousand long texts
+    don't make one; a smaller limit that the session has stays. Results don't
+    depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    size = int(now.rstrip("kmg") or 0) * unit
+    if size <= 0 or size > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it again.
 
-    Unlike executor-held blocks the files outlive any lost executor.
+    Unlike executor-held blocks the files outlive any lost executor. They are
+    removed when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hashed(*cols: str):
-    """A 64-bit key of the given columns, with nulls told apart from values."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
+def flat(df: DataFrame) -> DataFrame:
+    """``df`` with its columns numbered, so that no two names can clash, whatever their case."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def _at(df: DataFrame, name: str) -> str:
+    """The number of a column: that of exactly this name, or else the one whose name differs by case only."""
+    cols = df.columns
+    return f"_c{cols.index(name) if name in cols else [c.lower() for c in cols].index(name.lower())}"
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns of ``df``, in this order and under these names, for Python in small batches."""
+    small_batches(df.sparkSession)
+    return flat(df).select(*[F.col(_at(df, n)).alias(n) for n in names])
 
 
-def row_struct(df: DataFrame) -> Column:
-    """All columns of ``df`` as one struct, whatever they are called."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+def with_rows(df: DataFrame, **names: str) -> DataFrame:
+    """(row, ...): all columns of ``df`` as one struct, whatever they are called, and some of them beside it under the given names."""
+    small_batches(df.sparkSession)
+    return flat(df).select(F.struct(*[F.col(f"_c{i}") for i in range(len(df.columns))]).alias("row"), *[F.col(_at(df, c)).alias(n) for n, c in names.items()])
 
 
-def unpack_row(df: DataFrame, changed: str, value: Column, row: str = "row") -> list[Column]:
-    """The columns of ``df`` out of its :func:`row_struct`, with ``value`` for one of them."""
-    return [(value if c == changed else F.col(row).getField(c)).alias(c) for c in df.columns]
+def unpack_row(df: DataFrame, rows: DataFrame, changed: str | None = None, value: Column | None = None) -> DataFrame:
+    """The columns of ``df`` out of the structs of :func:`with_rows`, with ``value`` for one of them."""
+    at = None if changed is None else _at(df, changed)
+    out = rows.select(*[(value if f"_c{i}" == at else F.col("row").getField(f"_c{i}")).alias(f"_c{i}") for i in range(len(df.columns))])
+    return out.toDF(*df.columns)
 
 
 def edit_texts(edit):

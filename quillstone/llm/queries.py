@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import language_id, secret_scan
 from quillstone.llm.bpe import bpe_encode
-from quillstone.llm.fingerprints import document_fingerprints
-from quillstone.llm.frames import table
+from quillstone.llm.fingerprints import document_fingerprints, folding_sql
+from quillstone.llm.frames import materialise, table
 from quillstone.llm.license_scan import license_scan
 from quillstone.llm.mpegts import multiplex_table, transport_streams
 from quillstone.llm.simhash_dedup import near_duplicates
@@ -30,7 +30,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds media, so each page is multiplexed first: html and url as two streams."""
-    return transport_streams(multiplex_table(table(spark, sf_dir, "pages"), "page_id", "html", "url"), "page_id", "ts")
+    return transport_streams(multiplex_table(table(spark, sf_dir, "pages"), "page_id", "html", "url"), "page_id", "ts", payload=True)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "kept")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id", "source"]).findings
+    """A first run, whose ledger is written for the next."""
+    scan = secret_scan.secret_scan(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    materialise(scan.ledger, "ledger")
+    return scan.findings
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +79,10 @@ QUERIES = {
 }
 
 SQL = {
-    "op2_document_fingerprints": r"""
+    "op2_document_fingerprints": f"""
         SELECT doc_id,
                CASE WHEN canon IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY canon) END AS group_id,
                CASE WHEN canon IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY canon) END AS group_size
-        FROM (SELECT doc_id, trim(regexp_replace(lower(nfc_normalize(text)), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS canon
-              FROM documents)""",
+        FROM (SELECT doc_id, {folding_sql("text")} AS canon FROM documents)""",
     "op7_secret_scan": secret_scan.oracle_sql(),
 }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.frames import edit_texts, row_struct, unpack_row
+from quillstone.llm.frames import edit_texts, materialise, pick, unpack_row, with_rows
 
 
 @dataclass(frozen=True)
@@ -57,21 +57,15 @@ def _hit(rule: Rule, text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(k) for k in rule.keywords]) if rule.keywords else F.lit(True)
 
 
+_SPAN = "array<struct<rule_id:string,rule_version:int,k:int,gap:int,match:string>>"
+
+
 def _found(rule: Rule, text: Column) -> Column:
-    """All matches of a rule as structs; the pieces between them give the offsets."""
+    """All matches of a rule as structs, each with the length of the text between it and the one before."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    spans = F.transform(
-        hits,
-        lambda m, i: F.struct(
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.version).alias("rule_version"),
-            (length(F.slice(gaps, 1, i + 1)) + length(F.slice(hits, 1, i))).alias("start"),
-            m.alias("match"),
-        ),
-    )
-    return F.when(_hit(rule, text), spans).otherwise(F.array().cast("array<struct<rule_id:string,rule_version:int,start:int,match:string>>"))
+    spans = F.transform(F.arrays_zip(hits.alias("m"), F.slice(gaps, 1, F.size(hits)).alias("g")), lambda x, i: F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.version).alias("rule_version"), i.alias("k"), F.length(x["g"]).alias("gap"), x["m"].alias("match")))
+    return F.when(_hit(rule, text), spans).otherwise(F.array().cast(_SPAN))
 
 
 @dataclass
@@ -79,7 +73,7 @@ class Scan:
     """What a run found and what the next run needs.
 
     findings: one row for each finding and each path that has its blob.
-    ledger: (blob_id, rule_id, rule_version) pairs that are settled by now.
+    ledger: (blob_id, rules ARRAY<STRUCT<rule_id, rule_version>>) that are settled by now.
     blob_findings: (blob_id, rule_id, rule_version, start, match) so far.
     scanned: (blob_id, rules) of the blobs whose text this run looked at.
     """
@@ -100,65 +94,68 @@ def secret_scan(versions: DataFrame, path_cols: list[str], text_col: str = "text
     joined to every path of their blob, as (path_cols..., rule_id,
     rule_version, start, stop, match), offsets in characters from 0.
 
-    A text moves between executors only where it holds a keyword of some rule,
-    and once for each blob; all others are settled where they are read.
-
-    Null text: no blob, no findings. Empty text: a blob without findings.
-    Repeated rows: each is a path of its own. Null path columns stay null.
-    Columns other than path_cols and text_col are ignored, whatever their names.
+    Texts are read once: paths, addresses and the texts that hold a keyword of
+    some rule are written to the shared folder, from where ledger, scan and
+    paths go on. Only these texts move between executors, and once for each
+    blob; all others are settled where they are read.
+
+    Null text: no blob, no findings. Empty text: a blob without findings. Long
+    texts are searched in whole. Repeated rows: each is a path of its own.
+    Matches of one rule don't overlap, the first from the left is taken; those
+    of different rules may. Null path columns stay null. An empty table has no
+    findings and leaves the ledger as it was. Columns other than path_cols and
+    text_col are ignored, whatever their names.
     """
     spark = versions.sparkSession
     text = F.col("_text")
     any_hit = reduce(lambda a, b: a | b, [_hit(r, text) for r in rules])
-    base = versions.select(F.struct(*path_cols).alias("_path"), F.col(text_col).alias("_text")).filter(text.isNotNull())
-    base = base.select("_path", blob_id(text).alias("blob_id"), F.when(any_hit, text).alias("_text"))
+    base = pick(versions, *path_cols, text_col).select(F.struct(*path_cols).alias("_path"), F.col(text_col).alias("_text")).filter(text.isNotNull())
+    base = materialise(base.select("_path", blob_id(text).alias("blob_id"), F.when(any_hit, text).alias("_text")), "blobs")
     every = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("rule_version")) for r in rules])
     candidates = base.filter(text.isNotNull())
     blobs = candidates.groupBy("blob_id").agg(F.any_value("_text").alias("_text"))
     if ledger is None:
         todo = blobs.withColumn("_rules", every)
     else:
-        seen = ledger.groupBy("blob_id").agg(F.collect_set(F.struct("rule_id", "rule_version")).alias("_seen"))
+        seen = ledger.groupBy("blob_id").agg(F.flatten(F.collect_list("rules")).alias("_seen"))
         todo = blobs.join(seen, "blob_id", "left").withColumn("_rules", F.array_except(every, F.coalesce("_seen", F.array().cast("array<struct<rule_id:string,rule_version:int>>"))))
         todo = todo.filter(F.size("_rules") > 0).select("blob_id", "_text", "_rules")
-    found = todo.select(
-        "blob_id",
-        F.explode(
-            F.flatten(
-                F.array(
-                    *[
-                        F.when(F.array_contains("_rules", F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("rule_version"))), _found(r, text)).otherwise(
-                            F.array().cast("array<struct<rule_id:string,rule_version:int,start:int,match:string>>")
-                        )
-                        for r in rules
-                    ]
-                )
-            )
-        ).alias("f"),
-    ).select("blob_id", "f.*")
+    wanted = lambda r: F.array_contains("_rules", F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("rule_version")))
+    spans = todo.select("blob_id", F.explode(F.flatten(F.array(*[F.when(wanted(r), _found(r, text)).otherwise(F.array().cast(_SPAN)) for r in rules]))).alias("f")).select("blob_id", "f.*")
+    upto = Window.partitionBy("blob_id", "rule_id", "rule_version").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("match")
+    found = spans.select("blob_id", "rule_id", "rule_version", (F.sum(F.col("gap") + size).over(upto) - size).cast("int").alias("start"), "match")
     if known is not None:
         current = spark.createDataFrame([(r.rule_id, r.version) for r in rules], "rule_id string, rule_version int")
         # what was settled before stays as it was; only rule versions in force are reported
         found = found.unionByName(known.join(F.broadcast(current), ["rule_id", "rule_version"], "left_semi").select(found.columns))
     findings = candidates.select("_path", "blob_id").join(found, "blob_id").select("_path.*", "rule_id", "rule_version", "start", (F.col("start") + F.length("match")).alias("stop"), "match")
-    settled = base.select("blob_id").distinct().select("blob_id", F.explode(every).alias("r")).select("blob_id", "r.*")
-    settled = settled if ledger is None else settled.unionByName(ledger.select(settled.columns)).distinct()
+    settled = base.select("blob_id").distinct().withColumn("rules", every)
+    if ledger is not None:
+        settled = settled.unionByName(ledger.select("blob_id", "rules")).groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
     return Scan(findings, settled, found, todo.select("blob_id", F.col("_rules").alias("rules")))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with each found secret replaced by ``[rule_id]``; overlapping ones by the first.
-
-    Every row and column stays; texts without findings are unchanged. Findings
-    belong to (id, content), so that different texts under one id don't mix.
+    """``docs`` with each found secret replaced by ``[rule_id]``.
+
+    Of secrets that overlap, the one that begins first is replaced, of those
+    that begin together the shorter, then the one whose rule sorts first, and
+    what the others have beyond it goes too. Every row and column stays, whatever their
+    names; null and empty texts and those without findings are unchanged, and
+    are not exchanged where they hold no keyword. Long texts are searched in
+    whole. Findings belong to (id, content), so that different texts under one
+    id don't mix; rows that repeat both are edited alike; ids may be null. An
+    empty table stays empty.
     """
-    keyed = docs.select(F.col(id_col).alias("_sid"), F.xxhash64(F.col(text_col)).alias("_skey"), F.col(text_col).alias("_stext"))
-    found = secret_scan(keyed, ["_sid", "_skey"], "_stext", rules).findings.distinct()
+    d = with_rows(docs, did=id_col, text=text_col)
+    hit = F.coalesce(reduce(lambda a, b: a | b, [_hit(r, F.col("text")) for r in rules]), F.lit(False))
+    some = d.filter(hit).withColumn("key", F.xxhash64("text"))
+    found = secret_scan(some.select(F.col("did").alias("_sid"), F.col("key").alias("_skey"), F.col("text").alias("_stext")), ["_sid", "_skey"], "_stext", rules).findings.distinct()
     spans = found.groupBy("_sid", "_skey").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "rule_id"))).alias("_spans"))
-    d = docs.select(row_struct(docs).alias("row"), F.col(id_col).alias("did"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
-    joined = d.join(spans, F.col("did").eqNullSafe(F.col("_sid")) & (F.col("key") == F.col("_skey")), "left")
+    joined = some.join(spans, F.col("did").eqNullSafe(F.col("_sid")) & (F.col("key") == F.col("_skey")), "left")
     edited = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(edit_texts(_redact)(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
-    return joined.select("row", edited.alias("new")).select(*unpack_row(docs, text_col, F.col("new")))
+    return unpack_row(docs, d.filter(~hit).select("row", F.col("text").alias("new")).unionByName(joined.select("row", edited.alias("new"))), text_col, F.col("new"))
 
 
 def _redact(text: str, spans) -> str:

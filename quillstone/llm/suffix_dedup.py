@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.frames import edit_texts, materialise, row_struct, unpack_row
-from quillstone.llm.textkit import SPACE, blocks, buffers, expand, mix, prefix, runs, sliding_min, spans_hash, tidy, whole_groups, word_hashes, words
+from quillstone.llm.frames import edit_texts, materialise, pick, unpack_row, with_rows
+from quillstone.llm.textkit import SPACE, buffers, expand, mix, prefix, slices, sliding_min, spans_hash, tidy, whole_groups, word_hashes, words
 
 
 @dataclass(frozen=True)
@@ -36,13 +36,17 @@ class Config:
     """words: least length of a repeated passage. gram: words in the rolling
     hash that splits the corpus. trigger, modulus: words in the rolling hash
     that ends phrases, and of how many values one does. part: bytes of text
-    that are ordered together (a single key with more still stays whole)."""
+    that are ordered together, in whole keys. hot: keys with more distinct
+    contents than this, such as those of a passage that very many documents
+    share in different surroundings, aren't ordered in one place: their windows
+    are compared one by one, by hash, wherever they are; the result is the same."""
 
     words: int = 50
     gram: int = 6
     trigger: int = 4
     modulus: int = 8
-    part: int = 6_000_000
+    part: int = 2_500_000
+    hot: int = 4_000
 
 
 def segments(data: np.ndarray, off: np.ndarray, config: Config) -> tuple[np.ndarray, ...]:
@@ -210,46 +214,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copy of everything. text_key (xxhash64 of the text) tells apart different
     texts under one id.
 
-    Null texts and those under ``words`` words have no repeats. Rows equal in
-    id and text are one document. Null ids sort before all others and are kept.
-    Long texts and single very frequent passages need no cap: equal segments
-    are ordered once. Other columns are ignored, whatever their names.
+    Null and empty texts and those under ``words`` words have no repeats, nor
+    has an empty table. Rows equal in id and text are one document. Null ids
+    sort before all others and are kept. Ties, equal passages of one id, go by
+    text_key, then place. Long texts and single very frequent passages need no
+    cap: equal segments are ordered once. Other columns are ignored, whatever
+    their names.
     """
     id_type = docs.schema[id_col].dataType
     k = config.words
     seg_t = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", id_type), T.StructField("tid", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("body", T.LongType()), T.StructField("twice", T.BooleanType())])
-    occ_t = T.StructType([*seg_t.fields, T.StructField("lead", T.BooleanType()), T.StructField("many", T.BooleanType())])
-    text_t = T.StructType([T.StructField("key", T.LongType()), T.StructField("body", T.LongType()), T.StructField("id", id_type), T.StructField("tid", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("words", T.BinaryType())])
-    flag_t = T.StructType([T.StructField("key", T.LongType()), T.StructField("body", T.LongType()), T.StructField("rep", T.ArrayType(T.IntegerType())), T.StructField("own", T.ArrayType(T.IntegerType()))])
+    text_t = T.StructType([T.StructField("key", T.LongType()), T.StructField("body", T.LongType()), T.StructField("id", id_type), T.StructField("tid", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("words", T.BinaryType()), T.StructField("hot", T.BooleanType())])
+    window_t = T.StructType([*text_t.fields[:5], T.StructField("j", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("window", T.LongType())])
+    flag_t = T.StructType([*text_t.fields[:5], T.StructField("rep", T.ArrayType(T.IntegerType())), T.StructField("own", T.ArrayType(T.IntegerType()))])
     span_t = T.StructType([T.StructField(id_col, id_type), T.StructField("text_key", T.LongType()), T.StructField("word_start", T.IntegerType()), T.StructField("word_stop", T.IntegerType()), T.StructField("first", T.BooleanType())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = buffers(batch.column(2))
-            for a, b in blocks(off):
-                key, row, at, n, body, twice = segments(data[off[a] : off[b]], off[a : b + 1] - off[a], config)
+            for a, texts in slices(batch.column(2)):
+                key, row, at, n, body, twice = segments(*buffers(texts), config)
                 who = pa.array(row + a)
                 yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(body.view(np.int64)), pa.array(twice)], seg_t.names)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps keys that may repeat; marks the first occurrence of each distinct content."""
-        for t in whole_groups(batches, "key", 8_000_000):
-            t = t.combine_chunks()
-            key, body, at, tid, twice = (np.asarray(t[c]) for c in ("key", "body", "at", "tid", "twice"))
-            same_id = np.asarray(pc.fill_null(pc.equal(t["id"].slice(1), t["id"].slice(0, len(t) - 1)), False).combine_chunks()) if len(t) > 1 else np.zeros(0, bool)
-            nulls = np.asarray(pc.is_null(t["id"]).combine_chunks())
-            same_id = same_id | (nulls[1:] & nulls[:-1])
-            again = np.r_[False, same_id & (key[1:] == key[:-1]) & (body[1:] == body[:-1]) & (at[1:] == at[:-1]) & (tid[1:] == tid[:-1])]
-            keep = np.flatnonzero(~again)
-            t, key, body, twice = t.take(pa.array(keep)), key[keep], body[keep], twice[keep]
-            first, size = runs(key)
-            alive = np.repeat(size > 1, size) | twice
-            lead = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])]
-            group = np.cumsum(lead) - 1
-            many = (np.bincount(group) > 1)[group]
-            t = t.append_column("lead", pa.array(lead)).append_column("many", pa.array(many))
-            yield from t.filter(pa.array(alive)).combine_chunks().to_batches()
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -261,7 +247,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 raw = data.tobytes()
                 who = pa.array(np.zeros(len(segs), np.int64))
                 yield pa.record_batch(
-                    [segs.field("key"), segs.field("body"), part.column(0).take(who), part.column(1).take(who), segs.field("at"), segs.field("n"), segs.field("many"), pa.array([raw[starts[x] : ends[x + y + k - 2]] for x, y in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())],
+                    [segs.field("key"), segs.field("body"), part.column(0).take(who), part.column(1).take(who), segs.field("at"), segs.field("n"), segs.field("many"), pa.array([raw[starts[x] : ends[x + y + k - 2]] for x, y in zip(at.tolist(), n.tolist(), strict=True)], pa.binary()), segs.field("hot")],
                     text_t.names,
                 )
 
@@ -287,11 +273,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             flat, rep_off = _flags_to_runs(repeated, bounds)
             own_flat, own_off = _flags_to_runs(own, bounds)
             out = pa.table(
-                [t["key"].combine_chunks(), t["body"].combine_chunks(), pa.ListArray.from_arrays(pa.array(rep_off, pa.int32()), pa.array(flat, pa.int32())), pa.ListArray.from_arrays(pa.array(own_off, pa.int32()), pa.array(own_flat, pa.int32()))],
+                [*(t[c].combine_chunks() for c in flag_t.names[:5]), pa.ListArray.from_arrays(pa.array(rep_off, pa.int32()), pa.array(flat, pa.int32())), pa.ListArray.from_arrays(pa.array(own_off, pa.int32()), pa.array(own_flat, pa.int32()))],
                 flag_t.names,
             )
             yield from out.filter(pa.array(np.diff(rep_off) > 0)).combine_chunks().to_batches()
 
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each segment, by the hash of their words."""
+        for batch in batches:
+            data, off = buffers(batch.column(7))
+            starts, ends, row = words(data, off, SPACE)
+            p = prefix(word_hashes(data, starts, ends))
+            n = np.asarray(batch.column(5)).astype(np.int64)
+            first = np.searchsorted(row, np.arange(len(n)), "left")
+            at = expand(first, n)
+            who = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.record_batch([*(batch.column(c).take(who) for c in range(5)), pa.array(expand(np.zeros(len(n), np.int64), n), pa.int32()), batch.column(6).take(who), pa.array(spans_hash(p, at, at + k).view(np.int64))], window_t.names)
+
+    def join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Flags from the repeated windows of each content, as runs."""
+        for batch in batches:
+            rep, own = [], []
+            for w in batch.column(5).to_pylist():
+                at = sorted((x["j"], x["own"]) for x in w)
+                for out, js in ((rep, [j for j, _ in at]), (own, [j for j, o in at if o])):
+                    flat: list[int] = []
+                    for j in js:
+                        if flat and flat[-1] == j:
+                            flat[-1] = j + 1
+                        else:
+                            flat += [j, j + 1]
+                    out.append(flat)
+            yield pa.record_batch([*(batch.column(c) for c in range(5)), pa.array(rep, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int32()))], flag_t.names)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             who, a, b, first = [], [], [], []
@@ -310,15 +324,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = pa.array(who, pa.int64())
             yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(first, pa.bool_())], span_t.names)
 
-    keyed = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
-    met = keyed.mapInArrow(tidy(split), seg_t).repartition("key").sortWithinPartitions("key", "body", "id", "tid", "at").mapInArrow(tidy(meet), occ_t)
-    occ = materialise(met, "segments")
-    wanted = occ.filter("lead").groupBy("id", "tid").agg(F.collect_list(F.struct("key", "body", "at", "n", "many")).alias("segs"))
+    keyed = pick(docs, id_col, text_col).toDF("id", "text").filter("text IS NOT NULL").select("id", F.xxhash64("text").alias("tid"), "text")
+    segs = materialise(keyed.mapInArrow(tidy(split), seg_t), "segments")
+    # a key may repeat something where it has two places (rows equal in id and text have the same), or a segment that repeats within itself
+    differ = lambda c: F.min(c) != F.max(c)
+    mixed = differ("tid") | differ("at") | F.coalesce(differ("id"), F.lit(False)) | (F.count("id") != F.count("*")) & (F.count("id") > 0)
+    keys = segs.groupBy("key").agg((mixed | F.bool_or("twice")).alias("alive")).filter("alive").select("key")
+    live = materialise(segs.join(keys, "key", "left_semi"), "live")
+    place = F.struct("id", "tid", "at")
+    # each distinct content is ordered once, however many documents have it: collapsed before it is exchanged
+    contents = live.groupBy("key", "body").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.any_value("n").alias("n"))
+    contents = contents.select("key", "body", "lead.*", "n", (~F.col("lead").eqNullSafe(F.col("last"))).alias("many"))
+    hot = contents.groupBy("key").count().filter(F.col("count") > config.hot).select("key", F.lit(True).alias("hot"))
+    contents = contents.join(hot, "key", "left")
+    wanted = contents.groupBy("id", "tid").agg(F.collect_list(F.struct("key", "body", "at", "n", "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
     joined = keyed.alias("d").join(wanted.alias("w"), F.col("d.tid").eqNullSafe(F.col("w.tid")) & F.col("d.id").eqNullSafe(F.col("w.id")))
-    texts = joined.select("d.id", "d.tid", "d.text", "w.segs").mapInArrow(tidy(extract), text_t)
-    flags = texts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(order), flag_t)
+    texts = materialise(joined.select("d.id", "d.tid", "d.text", "w.segs").mapInArrow(tidy(extract), text_t), "contents")
+    flags = texts.filter("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(order), flag_t)
+    # hot keys: a window repeats where it has two places, or its content has
+    windows = texts.filter("hot").mapInArrow(tidy(apart), window_t).withColumn("place", F.struct("id", "tid", (F.col("at") + F.col("j")).alias("at")))
+    met = windows.groupBy("window").agg(F.min("place").alias("lead"), (~F.min("place").eqNullSafe(F.max("place")) | F.bool_or("many")).alias("again")).filter("again").select("window", "lead")
+    again = windows.join(met, "window").groupBy(*text_t.names[:5]).agg(F.collect_list(F.struct("j", F.col("place").eqNullSafe(F.col("lead")).alias("own"))).alias("windows"))
+    flags = flags.unionByName(again.mapInArrow(tidy(join_windows), flag_t))
     flags = flags.dropDuplicates(["key", "body"])  # rows equal in id and text gave theirs twice
-    hits = occ.join(flags, ["key", "body"]).groupBy("id", "tid").agg(F.collect_list(F.struct("at", "lead", "rep", "own")).alias("segs"))
+    flags = flags.select("key", "body", F.struct("id", "tid", "at").alias("first"), "rep", "own")
+    found = live.join(flags, ["key", "body"]).withColumn("lead", place.eqNullSafe(F.col("first")))
+    # many documents may share a content, whose flags are one row: adaptive joins split them
+    hits = found.groupBy("id", "tid").agg(F.collect_list(F.struct("at", "lead", "rep", "own")).alias("segs"))
     return hits.mapInArrow(tidy(merge), span_t)
 
 
@@ -327,15 +359,18 @@ def cut_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", te
 
     The cut words go with the white space after them; everything else stays
     byte for byte. Texts without such passages are unchanged. A document of
-    which nothing is left goes. All columns and their order stay.
+    which nothing is left goes. Null texts stay, and so do empty ones and an
+    empty table; rows that repeat id and text are cut alike, long texts in
+    whole. Spans may touch or be given in any order. All columns and their order
+    stay, whatever their names.
     """
     cuts = passages.filter("NOT first").groupBy(F.col(id_col).alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.array_sort(F.collect_list(F.struct("word_start", "word_stop"))).alias("_cuts"))
     # the row travels as one struct, so that no column of ``docs`` can clash
-    d = docs.select(row_struct(docs).alias("row"), F.col(id_col).alias("did"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    d = with_rows(docs, did=id_col, text=text_col).withColumn("key", F.xxhash64("text"))
     joined = d.join(cuts, F.col("did").eqNullSafe(F.col("_cut_id")) & (F.col("key") == F.col("_cut_key")), "left")
     edited = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(edit_texts(_cut)(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
     out = joined.select("row", "_cuts", edited.alias("new")).filter(F.col("_cuts").isNull() | F.col("new").rlike(r"\S"))
-    return out.select(*unpack_row(docs, text_col, F.col("new")))
+    return unpack_row(docs, out, text_col, F.col("new"))
 
 
 def _cut(text: str, cuts) -> str:

@@ -28,16 +28,32 @@ SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 NON_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
+_settled = False
+
+
+def _settle() -> object:
+    """The C library, told once a process to take large arrays from the system and give each back when it is freed."""
+    global _settled
+    lib = ctypes.CDLL(None)
+    if not _settled and hasattr(lib, "mallopt"):
+        lib.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: fixed, or it grows and large arrays fill the heap with holes
+        _settled = True
+    return lib
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, which at its end gives freed memory back: workers outlive their tasks."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = _settle()
         try:
             yield from run(batches)
         finally:
+            for k in (0, 1):
+                _powers[k] = _powers[k][: 1 << 16].copy()
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            trim = getattr(lib, "malloc_trim", None)  # where the C library has it
             if trim is not None:
                 trim(0)
 
@@ -102,6 +118,16 @@ def blocks(off: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def slices(col: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of a string column in parts of ``most`` bytes, as :func:`blocks`; nothing is copied."""
+    if not len(col):
+        return
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    for a, b in blocks(off, most):
+        yield a, col.slice(a, b - a)
+
+
 def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row of each maximal run of bytes that ``sep`` doesn't hold."""
     if not len(data):
@@ -152,9 +178,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iter
     """
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (b for whole in batches for b in _parts(whole, most)):
         held.append(batch)
         size += batch.nbytes
         if size < most:
@@ -178,6 +202,13 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iter
         yield pa.Table.from_batches(held)
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes."""
+    step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal neighbours."""
     if not len(keys):
