@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillstone.llm.frames import pick
+
 PACKET = 188
 _SYNC = 0x47
 
@@ -94,10 +96,12 @@ def _packets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(doubt)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool))
 
 
-def _sections(payloads: list[tuple[bool, bytes]]) -> Iterator[bytes]:
-    """Whole sections with a good CRC, from a PID's payloads (unit start, bytes)."""
+def _sections(payloads: list[tuple[bool, bool, bytes]]) -> Iterator[bytes]:
+    """Whole sections with a good CRC, from a PID's payloads (unit start, whether packets are missing before, bytes)."""
     held = b""
-    for start, body in payloads:
+    for start, gap, body in payloads:
+        if gap:
+            held = b""
         if start:
             skip = body[0] if body else 0
             held += body[1 : 1 + skip]
@@ -147,8 +151,22 @@ def parse(data: bytes) -> tuple[list[dict], int]:
     jump, entry = flags & 0x80 > 0, flags & 0x40 > 0
     blob = p.tobytes()
 
-    def bodies(which: np.ndarray) -> list[tuple[bool, bytes]]:
-        return [(bool(unit[i]), blob[i * PACKET + int(body_at[i]) : (i + 1) * PACKET]) for i in which if has_body[i]]
+    def steps(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one PID's packets with a payload: which are sent again (same counter, same bytes), and which don't follow the one before."""
+        again, wrong = np.zeros(len(full), bool), np.zeros(len(full), bool)
+        if len(full) > 1:
+            step = (counter[full[1:]] - counter[full[:-1]]) & 15
+            same = step == 0
+            same[same] = (p[full[1:][same], 4:] == p[full[:-1][same], 4:]).all(axis=1)
+            same[1:] &= ~same[:-1]  # twice, not three times
+            again[1:] = same
+            wrong[1:] = ~same & (step != 1) & ~jump[full[1:]]
+        return again, wrong
+
+    def bodies(which: np.ndarray) -> list[tuple[bool, bool, bytes]]:
+        full = which[has_body[which]]
+        again, wrong = steps(full)
+        return [(bool(unit[i]), bool(wrong[k]), blob[i * PACKET + int(body_at[i]) : (i + 1) * PACKET]) for k, i in enumerate(full) if not again[k]]
 
     programs: dict[int, int] = {}
     for s in _sections(bodies(np.flatnonzero(good & (pid == 0)))):
@@ -169,16 +187,7 @@ def parse(data: bytes) -> tuple[list[dict], int]:
     for (number, es), kind in sorted(streams.items()):
         mine = np.flatnonzero(good & (pid == es))
         full = mine[has_body[mine]]
-        # a packet may be sent twice: same counter, same bytes
-        again = np.zeros(len(full), bool)
-        wrong = np.zeros(len(full), bool)
-        if len(full) > 1:
-            step = (counter[full[1:]] - counter[full[:-1]]) & 15
-            same = step == 0
-            same[same] = (p[full[1:][same], 4:] == p[full[:-1][same], 4:]).all(axis=1)
-            same[1:] &= ~same[:-1]  # twice, not three times
-            again[1:] = same
-            wrong[1:] = ~same & (step != 1) & ~jump[full[1:]]
+        again, wrong = steps(full)
         use = full[~again]
         gap = wrong[~again]
         first = np.flatnonzero(unit[use])
@@ -213,9 +222,11 @@ def transport_streams(media: DataFrame, id_col: str, data_col: str, payload: boo
     one may hold inserted bytes. dts is pts where the packet has only that.
 
     Null or empty bytes, and bytes without packets or program tables, have no
-    streams and no rows. Repeated rows: rows for each. Null ids stay null.
-    Tables with a wrong CRC are passed over. Other columns are ignored,
-    whatever their names.
+    streams and no rows; nor has an empty table. Repeated rows: rows for each,
+    in no order, so there are no ties. Null ids stay null. A row's bytes, of
+    any length, are parsed in whole by one task. Tables with a wrong CRC, or
+    with a packet missing, are passed over; table packets that are sent twice
+    count once. Other columns are ignored, whatever their names.
     """
     unit = T.StructType([T.StructField("pts", T.LongType()), T.StructField("dts", T.LongType()), T.StructField("packet", T.LongType()), T.StructField("random_access", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("damaged", T.BooleanType())])
     point = T.StructType([T.StructField("packet", T.LongType()), T.StructField("pts", T.LongType())])
@@ -255,7 +266,7 @@ def transport_streams(media: DataFrame, id_col: str, data_col: str, payload: boo
                     arrays.append(pa.array([s["payload"] for s in rows], pa.binary()))
                 yield pa.record_batch(arrays, schema.names)
 
-    return media.select(id_col, data_col).mapInArrow(run, schema)
+    return pick(media, id_col, data_col).mapInArrow(run, schema)
 
 
 # Multiplexing: how the query makes media of a table that has none.
@@ -353,4 +364,4 @@ def multiplex_table(rows: DataFrame, id_col: str, body_col: str, title_col: str,
                     out.append(multiplex([(0x100, 0x1B, units), (0x101, 0x06, [title] if title else [])], drop=drop, twice=twice))
                 yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], schema.names)
 
-    return rows.select(id_col, body_col, title_col).mapInArrow(run, schema)
+    return pick(rows, id_col, body_col, title_col).mapInArrow(run, schema)
