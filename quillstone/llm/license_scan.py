@@ -13,32 +13,42 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillstone.llm.frames import pick
+
 
 @dataclass(frozen=True)
 class Notice:
-    """A notice and the number of edits (insertions, deletions, substitutions) allowed."""
+    """A notice and the number of edits (insertions, deletions, substitutions)
+    allowed, outside ``exact``: the words that tell this licence from others,
+    as they stand in the text. These must be there as they are (case aside, any
+    one white space for a blank), not as part of a longer word or number."""
 
     license_id: str
     text: str
     errors: int
+    exact: str = ""
 
 
 NOTICES = (
-    Notice("Apache-2.0", "Licensed under the Apache License, Version 2.0", 4),
-    Notice("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", 3),
+    Notice("Apache-2.0", "Licensed under the Apache License, Version 2.0", 4, "Version 2.0"),
+    Notice("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", 3, "Apache-2.0"),
     Notice("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted", 8),
-    Notice("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License", 6),
-    Notice("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", 2),
-    Notice("GPL-3.0", "licensed under the GNU General Public License, version 3", 5),
+    Notice("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License", 6, "Attribution 4.0"),
+    Notice("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", 2, "BY-NC 4.0"),
+    Notice("GPL-3.0", "licensed under the GNU General Public License, version 3", 5, "version 3"),
     Notice("GPL", "This program is free software: you can redistribute it and/or modify", 6),
     Notice("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose", 7),
-    Notice("MIT", "Released under the MIT License", 2),
+    Notice("MIT", "Released under the MIT License", 2, "MIT"),
     Notice("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy", 7),
-    Notice("MIT", "SPDX-License-Identifier: MIT", 2),
-    Notice("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", 5),
+    Notice("MIT", "SPDX-License-Identifier: MIT", 2, "MIT"),
+    Notice("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", 5, "v. 2.0"),
     Notice("proprietary", "All rights reserved. Unauthorized copying of this file", 5),
 )
 
+#: What may not stand beside the exact words: letters and digits, also behind the signs that names and numbers are made with.
+_BEFORE = r"(?<![0-9a-z])(?<![0-9a-z][-.+])"
+_AFTER = r"(?![0-9a-z]|[-.][0-9a-z]|\+)"
+
 
 def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 disjoint pieces: a match with so many edits has one of them whole."""
@@ -51,6 +61,23 @@ def pattern(notice: Notice) -> regex.Pattern:
     return regex.compile(f"(?e)(?:{regex.escape(notice.text.lower(), literal_spaces=True)}){{e<={notice.errors}}}")
 
 
+def exact_pattern(notice: Notice) -> regex.Pattern | None:
+    """What a match has to hold without edits."""
+    exact = notice.exact.lower()
+    if not exact:
+        return None
+    words = r"\s".join(regex.escape(w) for w in exact.split(" "))
+    # a version may go on with a zero: version 3 is version 3.0
+    zero = r"(?:\.0)?" if exact[-1].isdigit() and "." not in exact else ""
+    return regex.compile(f"{_BEFORE}{words}{zero}{_AFTER}")
+
+
+def holds(exact: regex.Pattern | None, low: str, start: int, stop: int) -> bool:
+    """Whether the exact words begin within a match; what stands beside them counts."""
+    m = exact is None or exact.search(low, start)
+    return bool(m) and (m is True or m.start() < stop)
+
+
 @lru_cache(maxsize=8)
 def _compiled(notices: tuple[Notice, ...]):
     seeds = defaultdict(list)
@@ -61,7 +88,7 @@ def _compiled(notices: tuple[Notice, ...]):
     for piece, where in seeds.items():
         machine.add_word(piece, (len(piece), where))
     machine.make_automaton()
-    return machine, [pattern(n) for n in notices]
+    return machine, [(pattern(n), exact_pattern(n)) for n in notices]
 
 
 def lowered(text: str) -> str:
@@ -94,7 +121,8 @@ def find(text: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, in
             else:
                 merged.append(s)
         for a, b in merged:
-            out += [(k, m.start(), m.end(), *m.fuzzy_counts) for m in patterns[k].finditer(low, a, b)]
+            fuzzy, exact = patterns[k]
+            out += [(k, m.start(), m.end(), *m.fuzzy_counts) for m in fuzzy.finditer(low, a, b) if holds(exact, low, m.start(), m.end())]
     return sorted(out)
 
 
@@ -103,13 +131,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns (id, license_id, notice, start, stop, substitutions, insertions,
     deletions): character offsets from 0, and the edits of the match. Case is
-    ignored. A match with k edits holds one of k + 1 disjoint pieces of its
+    ignored. The words that tell licences apart (Notice.exact) take no edits. A match with k edits holds one of k + 1 disjoint pieces of its
     notice unchanged, so the exact seed search (one automaton over all pieces)
     loses nothing; the regex library's bounded-error matching then verifies.
     Map only: nothing is exchanged, and texts without a seed go no further.
 
-    Null or empty text: no rows. Repeated rows: rows for each. Null ids stay
-    null. Other columns are ignored, whatever their names.
+    Null or empty text: no rows, nor from an empty table. Repeated rows: rows
+    for each. Null ids stay null. Texts of any length are searched in whole.
+    Matches of one notice don't overlap: the first from the left is taken, and
+    of those that begin together the one with the fewest edits; matches of
+    different notices may overlap. Other columns are ignored, whatever their
+    names.
     """
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("license_id", T.StringType()), T.StructField("notice", T.StringType())]
@@ -132,4 +164,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     schema.names,
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
+    return pick(docs, id_col, text_col).mapInArrow(scan, schema)
