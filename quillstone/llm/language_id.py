@@ -12,23 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.frames import materialise
-from quillstone.llm.textkit import blocks, buffers, tidy
+from quillstone.llm.frames import flat, materialise, pick
+from quillstone.llm.textkit import buffers, slices, tidy
 
 #: Letters of ASCII are folded by the caller; digits, signs and white space all become one blank.
 _FOLD = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], np.uint32)
-_SIZES = (2**np.arange(3, 14)).tolist()  # letters; classes by length for the thresholds
+_SIZES = (2**np.arange(0, 14)).tolist()  # letters; classes by length for the thresholds
 
 
 @dataclass(frozen=True)
 class Config:
     """dims: hashed n-gram buckets. clusters: centroids a language.
 
-    per_language: most labelled rows a language that the fit looks at.
+    per_language: labelled rows a language that the fit looks at, on average.
+    most_languages: more labels than these are an error, as every language has
+    its centroids on every worker.
     reject_quantile, margin: a text is rejected where its cosine to the nearest
     centroid is below margin times this quantile of the fitted rows' own
-    cosines at its length. min_letters: shorter texts are never rejected for
-    distance, only where they have no letter at all.
+    cosines at its length; the shortest texts have thresholds of their own.
     """
 
     dims: int = 4096
@@ -36,7 +37,7 @@ class Config:
     per_language: int = 400
     reject_quantile: float = 0.002
     margin: float = 0.6
-    min_letters: int = 24
+    most_languages: int = 1000
     seed: int = 7
 
 
@@ -110,10 +111,16 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     The sample takes rows by a hash of id, at most ``per_language`` expected for
     each language (Config), whatever the size of the table. Everything that
     reaches the driver is of a fixed size: dims frequencies and the sample's
-    vectors. An empty table, or one without labels, gives a model that rejects all.
+    vectors. An empty table, or one without labels, gives a model that rejects
+    all. Null texts count as documents without n-grams and are in no sample; nor
+    are rows without a label. Rows with a null id are in the sample or out of it
+    together, and so are rows that repeat an id. Very long texts are counted in
+    blocks. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).count().collect()}
+    docs = pick(docs, id_col, lang_col, text_col)
+    sizes = {r[0]: r[1] for r in docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).count().limit(config.most_languages + 1).collect()}
+    if len(sizes) > config.most_languages:
+        raise ValueError(f"{lang_col} has more than {config.most_languages} languages")
     share = {k: config.per_language / n for k, n in sizes.items()}
     chance = (F.xxhash64(F.col(id_col).cast("string"), F.lit(config.seed)).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
     wanted = F.lit(False)
@@ -126,11 +133,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(dims, np.int64), 0
         for batch in batches:
-            lang = batch.column(0)
-            data, off = buffers(pc.utf8_lower(batch.column(1)))
-            for a, b in blocks(off, 1_000_000):
-                for a2 in range(a, b, 256):
-                    b2 = min(b, a2 + 256)
+            for a, texts in slices(batch.column(1), 1_000_000):
+                lang = batch.column(0).slice(a, len(texts))
+                data, off = buffers(pc.utf8_lower(texts))
+                for a2 in range(0, len(texts), 256):
+                    b2 = min(len(texts), a2 + 256)
                     tf, letters = counts(data[off[a2] : off[b2]], off[a2 : b2 + 1] - off[a2], dims)
                     df += (tf > 0).sum(axis=0)
                     rows += b2 - a2
@@ -179,25 +186,25 @@ def hash_bytes(b: bytes) -> int:
 
 def predict(model: Model, texts: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     """Language (None where rejected), cosine to the nearest centroid, letters."""
-    data, off = buffers(pc.utf8_lower(texts))
-    n = len(off) - 1
+    n = len(texts)
     lang: list[str | None] = [None] * n
     score, size = np.zeros(n), np.zeros(n, np.int64)
     dims = model.config.dims
-    for a, b in blocks(off, 1_000_000):
-        for a2 in range(a, b, 256):
-            b2 = min(b, a2 + 256)
+    for a, some in slices(texts, 1_000_000):
+        data, off = buffers(pc.utf8_lower(some))
+        for a2 in range(0, len(some), 256):
+            b2 = min(len(some), a2 + 256)
             tf, letters = counts(data[off[a2] : off[b2]], off[a2 : b2 + 1] - off[a2], dims)
-            size[a2:b2] = letters
+            size[a + a2 : a + b2] = letters
             if not len(model.centroids):
                 continue
             sims = weigh(tf, model.idf) @ model.centroids.T
             best = np.argmax(sims, axis=1)
             top = sims[np.arange(b2 - a2), best]
-            score[a2:b2] = top
-            ok = (letters > 0) & ((letters < model.config.min_letters) | (top >= model.floor[_size_class(letters)]))
+            score[a + a2 : a + b2] = top
+            ok = (letters > 0) & (top >= model.floor[_size_class(letters)])
             for i in np.flatnonzero(ok):
-                lang[a2 + i] = model.langs[best[i]]
+                lang[a + a2 + i] = model.langs[best[i]]
     return lang, score, size
 
 
@@ -207,7 +214,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     language is null exactly where rejected: the text is too far from every
     centroid for its length, or has no letter (null, empty, only digits and
     signs). Ties go to the centroid of the language that sorts first. Repeated
-    rows get a row each; null ids stay null; other columns are ignored.
+    rows get a row each; null ids stay null; texts of any length are judged in
+    whole; an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("language", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -217,17 +226,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             lang, score, _ = predict(shared.value, batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.round(score, 6)), pa.array([x is None for x in lang])], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return pick(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language isn't rejected; map only."""
+    """The rows of ``docs``, all columns as they are, whose language isn't rejected; map only.
+
+    Null and empty texts, and those without a letter, are rejected. Repeated
+    rows stay or go alike, whatever their ids; ids may be null or absent. Texts
+    of any length are judged in whole. An empty table stays empty. Columns of
+    any names go with their rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    numbered, at = flat(docs), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, _, _ = predict(shared.value, batch.column(at))
             yield batch.filter(pa.array([x is not None for x in lang]))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return numbered.mapInArrow(tidy(run), numbered.schema).toDF(*docs.columns)
