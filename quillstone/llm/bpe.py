@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillstone.llm.textkit import blocks, buffers, expand, tidy
+from quillstone.llm.frames import pick
+from quillstone.llm.textkit import buffers, expand, slices, tidy
 
 #: Longer words are stepped through one at a time; shorter ones together.
 _WIDE = 64
@@ -103,7 +104,7 @@ class Transitions:
     ``most`` bounds the states; beyond it the table begins anew.
     """
 
-    def __init__(self, a: Automaton, most: int = 1 << 18):
+    def __init__(self, a: Automaton, most: int = 1 << 17):
         self.a, self.most = a, most
         self.left, self.right, self.birth, self.version = a.left.tolist(), a.right.tolist(), a.birth.tolist(), a.state.tolist()
         self.pairs = {(self.left[t], self.right[t]): k for t, k in enumerate(self.birth) if k > 0}
@@ -349,7 +350,7 @@ def presplit(data: np.ndarray, off: np.ndarray, classes: np.ndarray | None = Non
 class Encoder:
     """Encodes texts by words, through one table of transitions."""
 
-    def __init__(self, automaton: Automaton, most: int = 1 << 18):
+    def __init__(self, automaton: Automaton, most: int = 1 << 17):
         self.a, self.table = automaton, Transitions(automaton, most)
         self.label_data = np.frombuffer(b"".join(automaton.labels), np.uint8)
         self.label_off = np.r_[0, np.cumsum(automaton.sizes)]
@@ -411,6 +412,11 @@ def encoder(shared) -> Encoder:
     return _encoders[id(shared.value)]
 
 
+def release_encoders() -> None:
+    """Gives this worker's encoder and its table back; what needs one makes it anew."""
+    _encoders.clear()
+
+
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids ARRAY<INT>, n_tokens, round_trip) of whole texts; map only.
 
@@ -418,9 +424,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     size that doesn't grow with the data). round_trip: the labels of the ids,
     put together, are the text's bytes.
 
-    Null text: null ids. Empty text: no ids. Strings that look like special
-    tokens are ordinary text. Repeated rows: a row each. Null ids stay null.
-    Other columns are ignored, whatever their names.
+    Null text: null ids. Empty text: no ids. Very long texts are encoded in
+    whole, and so are very long words. Strings that look like special tokens are
+    ordinary text. A text has one encoding, so there are no ties. Repeated rows:
+    a row each. Null ids stay null. An empty table gives no rows. Other columns
+    are ignored, whatever their names.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer(tokenizer_path))
@@ -428,9 +436,9 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared)
         for batch in batches:
-            data, off = buffers(batch.column(1))
-            for a, b in blocks(off, BLOCK):
-                part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+            for a, texts in slices(batch.column(1), BLOCK):
+                part, at = buffers(texts)
+                b = a + len(texts)
                 ids, ends = e.encode(part, at)
                 plain, back = e.decode(ids, ends)
                 whole = np.array_equal(back, at) and np.array_equal(plain, part)
@@ -440,12 +448,17 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=mask)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), lists, pa.array(np.diff(ends), pa.int32(), mask=null), pa.array(same, mask=null)], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return pick(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """(id, text) from token ids, by their labels. Null ids: null text. Ids out
-    of the vocabulary are an error. Bytes that aren't UTF-8 become U+FFFD."""
+    """(id, text) from token ids, by their labels; map only.
+
+    Null ids: null text. No ids: an empty text. Ids out of the vocabulary are an
+    error. Bytes that aren't UTF-8 become U+FFFD. Long lists are decoded in
+    whole. Repeated rows: a row each; the rows' own ids may be null. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
+    """
     schema = T.StructType([T.StructField(id_col, tokens.schema[id_col].dataType), T.StructField(text_col, T.StringType())])
     shared = tokens.sparkSession.sparkContext.broadcast(tokenizer(tokenizer_path))
 
@@ -463,4 +476,4 @@ def bpe_decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", i
                 texts.append(e.decode(ids, np.array([0, len(ids)]))[0].tobytes().decode(errors="replace"))
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
-    return tokens.select(id_col, ids_col).mapInArrow(tidy(run), schema)
+    return pick(tokens, id_col, ids_col).mapInArrow(tidy(run), schema)

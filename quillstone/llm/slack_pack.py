@@ -66,5 +66,12 @@ def minimum_slack(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack_min_slack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
-    """Windows of token ids by minimum bin slack; see :func:`pack_documents`."""
+    """Windows of token ids by minimum bin slack; rows as of :func:`pack_documents`.
+
+    Null and empty texts are in no window; texts over the window are split into
+    full pieces and a rest, without loss. Of sums that fill a window alike the
+    one of longer pieces is taken, of pieces of one length the earlier document,
+    by id, then by content; null ids first. Repeated rows are packed each. An
+    empty table has no windows. Other columns are ignored, whatever their names.
+    """
     return pack_documents(docs, tokenizer_path, minimum_slack, id_col, text_col, config)

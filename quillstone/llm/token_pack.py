@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.textkit import whole_groups
+from quillstone.llm.textkit import runs
 from quillstone.llm.token_windows import Config, pack_documents
 
 
@@ -71,7 +71,14 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack_best_fit(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
-    """Windows of token ids by best-fit decreasing; see :func:`pack_documents`."""
+    """Windows of token ids by best-fit decreasing; rows as of :func:`pack_documents`.
+
+    Null and empty texts are in no window; texts over the window are split into
+    full pieces and a rest, without loss. Of pieces of one length the earlier
+    document goes first, by id, then by content; null ids first. Repeated rows
+    are packed each. An empty table has no windows. Other columns are ignored,
+    whatever their names.
+    """
     return pack_documents(docs, tokenizer_path, best_fit_decreasing, id_col, text_col, config)
 
 
@@ -80,7 +87,10 @@ def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
     row), ``shard-N.pos.bin`` (position resets) and ``shard-N.cu.bin`` (int32:
     for each window the number of pieces, then cumulative lengths).
 
-    ``folder`` must be one that all executors share. Files are written under
+    ``folder`` must be one that all executors share as a path. Windows are
+    written one batch after another, so that a shard of any size fits. An empty
+    table writes nothing and has an empty manifest; nulls and ties were settled
+    when the windows were packed; other columns are ignored. Files are written under
     another name and moved, so that a repeated task leaves the same files.
     Returns the manifest (shard, windows, pieces), evaluated by the caller.
     """
@@ -90,17 +100,28 @@ def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
         import uuid
 
         os.makedirs(folder, exist_ok=True)
-        for group in whole_groups(batches, "shard", 1):
-            shards = np.asarray(group["shard"])
-            for s in np.unique(shards):
-                t = group.filter(pa.array(shards == s))
-                cu = t["cu_seqlens"].to_pylist()
-                parts = {"ids": b"".join(t["ids"].to_pylist()), "pos": b"".join(t["positions"].to_pylist()), "cu": b"".join(np.array([len(c) - 1, *c], "<i4").tobytes() for c in cu)}
-                for name, body in parts.items():
+        kinds, shard, files, windows, pieces = ("ids", "pos", "cu"), None, [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            for f, kind in zip(files, kinds, strict=True):
+                f.close()
+                os.replace(f.name, f"{folder}/shard-{shard}.{kind}.bin")
+            return pa.record_batch([pa.array([shard]), pa.array([windows]), pa.array([pieces])], ["shard", "windows", "pieces"])
+
+        for batch in batches:
+            for a, n in zip(*runs(np.asarray(batch.column("shard"))), strict=True):
+                part = batch.slice(a, n)
+                if part.column("shard")[0].as_py() != shard:
+                    if files:
+                        yield close()
+                    shard, windows, pieces = part.column("shard")[0].as_py(), 0, 0
                     tmp = f"{folder}/.{uuid.uuid4().hex}"
-                    with open(tmp, "wb") as f:
-                        f.write(body)
-                    os.replace(tmp, f"{folder}/shard-{s}.{name}.bin")
-                yield pa.record_batch([pa.array([s]), pa.array([len(cu)]), pa.array([sum(len(c) - 1 for c in cu)])], ["shard", "windows", "pieces"])
-
-    return packed.repartition("shard").sortWithinPartitions("shard", "window").mapInArrow(write, "shard long, windows long, pieces long")
+                    files = [open(f"{tmp}.{kind}", "wb") for kind in kinds]
+                cu = part.column("cu_seqlens").to_pylist()
+                for f, body in zip(files, (b"".join(part.column("ids").to_pylist()), b"".join(part.column("positions").to_pylist()), b"".join(np.array([len(c) - 1, *c], "<i4").tobytes() for c in cu)), strict=True):
+                    f.write(body)
+                windows, pieces = windows + n, pieces + sum(len(c) - 1 for c in cu)
+        if files:
+            yield close()
+
+    return packed.select("shard", "window", "ids", "positions", "cu_seqlens").repartition("shard").sortWithinPartitions("shard", "window").mapInArrow(write, "shard long, windows long, pieces long")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.bpe import BLOCK, encoder, tokenizer
-from quillstone.llm.textkit import blocks, buffers, expand, runs, tidy
+from quillstone.llm.bpe import BLOCK, encoder, release_encoders, tokenizer
+from quillstone.llm.frames import pick
+from quillstone.llm.textkit import buffers, expand, runs, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
     Other columns are ignored, whatever their names.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
+    docs = pick(docs, id_col, text_col)
     shards = 1 << max(0, -(-docs.count() // config.shard_docs) - 1).bit_length()  # reads row counts, no text
     sent = T.StructType([T.StructField("shard", T.LongType()), T.StructField("id", id_type), T.StructField("tokens", T.BinaryType())])
     result = T.StructType(
@@ -85,9 +87,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(shared)
         for batch in batches:
-            data, off = buffers(batch.column(2))
-            for a, b in blocks(off, BLOCK):
-                ids, ends = e.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            for a, texts in slices(batch.column(2), BLOCK):
+                b = a + len(texts)
+                ids, ends = e.encode(*buffers(texts))
                 if config.eos is not None:
                     some = np.flatnonzero(np.diff(ends))
                     ids = np.insert(ids, ends[some + 1], config.eos)
@@ -128,6 +130,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, plan: Planner, id_col:
         return pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(off), pa.py_buffer(part)])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()  # texts were encoded in an earlier stage, perhaps by this worker
         done = 0
         for fresh, t in parts(batches):
             done = 0 if fresh else done
