@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.components import components
-from quillstone.llm.frames import materialise
-from quillstone.llm.textkit import NON_WORD, blocks, buffers, expand, mix, runs, tidy, whole_groups, word_hashes, words
+from quillstone.llm.frames import materialise, pick
+from quillstone.llm.textkit import NON_WORD, blocks, buffers, expand, mix, runs, slices, tidy, whole_groups, word_hashes, words
 
 BITS = 256
 _LANES = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -29,18 +29,17 @@ class Config:
     Cells: references come in twins that differ in one bit, so that the nearer
     twin of each of ``key_bits`` pairs (their distances differ by one) makes a
     key; two fingerprints at distance d share a key with the probability that
-    none of key_bits different bits is among the d. key_bits follows the logarithm of the number of
-    fingerprints, from ``least_bits``, so that cells stay small at any size;
+    none of key_bits different bits is among the d. key_bits is the logarithm of
+    the number of fingerprints less ``crowd``, ``least_bits`` at least, so that
+    cells hold 2**crowd unrelated fingerprints on average at most, at any size;
     there are as many tables of keys as give pairs at distance ``design`` the
     recall ``recall`` and pairs at the radius itself ``least_recall``; nearer
     pairs have more.
-    coordinates, bound: pairs whose distances to any of so many random
-    references differ by more than ``bound`` are discarded. The triangle
-    inequality makes ``bound = radius`` free of loss; 30 loses a pair at the
-    full radius with a probability under 0.001 (its differences have a
-    deviation of sqrt(radius)).
-    dense: cells with more members are searched by a spanning search instead of
-    pair by pair; what is connected is the same.
+    coordinates: pairs whose distances to any of so many random references
+    differ by more than the radius are discarded; by the triangle inequality
+    that loses none.
+    dense: cells with more members are searched from member to member instead
+    of pair by pair; what is connected is the same.
     """
 
     radius: int = 44
@@ -49,13 +48,13 @@ class Config:
     recall: float = 0.97
     least_recall: float = 0.9
     coordinates: int = 64
-    bound: int = 30
-    dense: int = 64
+    crowd: int = 6
+    dense: int = 512
     seed: int = 11
 
     def layout(self, n: int) -> tuple[int, int]:
         """key_bits and tables for n fingerprints."""
-        bits = max(self.least_bits, math.ceil(math.log2(max(n, 1))))
+        bits = max(self.least_bits, math.ceil(math.log2(max(n, 1))) - self.crowd)
         return bits, max(math.ceil(math.log(1 - recall) / math.log(1 - math.comb(BITS - at, bits) / math.comb(BITS, bits))) for at, recall in ((self.design, self.recall), (self.radius, self.least_recall)))
 
 
@@ -78,11 +77,11 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Bit b is the majority, over the distinct lower-case words, of bit b of the
     words' 256-bit hashes; ties give 0.
     """
-    data, off = buffers(pc.utf8_lower(texts))
-    n = len(off) - 1
+    n = len(texts)
     out, size = np.zeros((n, BITS // 8), np.uint8), np.zeros(n, np.int64)
-    for a, b in blocks(off, 1_000_000):
-        part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+    for a, some in slices(texts, 1_000_000):
+        b = a + len(some)
+        part, at = buffers(pc.utf8_lower(some))
         starts, ends, row = words(part, at, NON_WORD)
         if not len(starts):
             continue
@@ -133,33 +132,58 @@ def surviving(fps: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray,
         x, y = a[s : s + 65536], b[s : s + 65536]
         left = np.arange(len(x))
         for c in range(0, config.coordinates, 16):  # in slices, so that most pairs fail early
-            left = left[(np.abs(table[x[left], c : c + 16] - table[y[left], c : c + 16])).max(axis=1) <= config.bound]
+            left = left[(np.abs(table[x[left], c : c + 16] - table[y[left], c : c + 16])).max(axis=1) <= config.radius]
         out[s + left[hamming(fps, x[left], y[left]) <= config.radius]] = True
     return out
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the given ones connect, one for each node but the least of its component."""
+    if not len(a):
+        return a, b
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        np.minimum.at(least, x, least[y])
+        np.minimum.at(least, y, least[x])
+        least = least[least]
+        if np.array_equal(before, least):
+            break
+    rest = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[rest], nodes[least[rest]]
+
+
 def cell_edges(keys: np.ndarray, fps: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that join the near members of each cell; keys are sorted."""
+    """Pairs of rows that join the near members of each cell, as few as do; keys are sorted."""
     starts, sizes = runs(keys)
     starts, sizes = starts[sizes > 1], sizes[sizes > 1]
     if not len(starts):
         e = np.zeros(0, np.int64)
         return e, e
     rows = expand(starts, sizes)  # members of cells that hold several
+    # the pivot distance table: a fingerprint comes in many cells of a block, its distances are worked out once
+    pick, back = np.unique(np.ascontiguousarray(fps[rows]).view(np.dtype((np.void, BITS // 8))).ravel(), return_inverse=True)
+    own = pick.view(np.uint8).reshape(-1, BITS // 8)
+    far = np.zeros((len(own), config.coordinates), np.int16)
+    for s in range(0, len(own), 4096):
+        far[s : s + 4096] = coordinates(own[s : s + 4096], config)
     table = np.zeros((len(fps), config.coordinates), np.int16)
-    for s in range(0, len(rows), 4096):
-        table[rows[s : s + 4096]] = coordinates(fps[rows[s : s + 4096]], config)
+    table[rows] = far[back]
     left, right = [], []
     few = sizes <= config.dense
     fs, fn = starts[few], sizes[few]
-    a = np.repeat(expand(fs, fn), np.repeat(fn, fn))
-    at = np.repeat(fs, fn)
-    b = expand(at, np.repeat(fn, fn))
-    half = a < b
-    a, b = a[half], b[half]
-    ok = surviving(fps, a, b, table, config)
-    left.append(a[ok])
-    right.append(b[ok])
+    for c, d in blocks(np.r_[0, np.cumsum(fn * fn)], 1_000_000):  # so many pairs at a time
+        ps, pn = fs[c:d], fn[c:d]
+        a = np.repeat(expand(ps, pn), np.repeat(pn, pn))
+        b = expand(np.repeat(ps, pn), np.repeat(pn, pn))
+        half = a < b
+        a, b = a[half], b[half]
+        ok = surviving(fps, a, b, table, config)
+        x, y = spanning(a[ok], b[ok])
+        left.append(x)
+        right.append(y)
     for s, n in zip(starts[~few], sizes[~few], strict=True):
         open_ = np.arange(s, s + n)
         while len(open_):
@@ -175,41 +199,61 @@ def cell_edges(keys: np.ndarray, fps: np.ndarray, config: Config) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
+def node_keys(fps: np.ndarray) -> np.ndarray:
+    """(n, 16) bytes that stand for each fingerprint as a node."""
+    lanes = np.ascontiguousarray(fps).view(np.uint64)
+    out = np.empty((len(fps), 2), np.uint64)
+    for k in (0, 1):
+        h = np.full(len(fps), _LANES[k])
+        for c in range(lanes.shape[1]):
+            h = mix(h + lanes[:, c] * np.uint64(2 * k + 0x9E3779B97F4A7C15))
+        out[:, k] = h
+    return out.view(np.uint8)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = Config()) -> DataFrame:
-    """Members of near-duplicate groups: (id, group_id, group_size, kept).
+    """Members of near-duplicate groups: (id, text_key, copies, group_id, group_size, kept).
 
     Near are texts whose 256-bit SimHash fingerprints differ in at most
-    ``radius`` bits; a group is a connected component of that relation;
-    group_id is its least id and kept marks it. Every document is a query.
-    Documents that are near to no other have no row.
+    ``radius`` bits; a group is a connected component of that relation. A member
+    is a document: an id and a text, told apart by text_key (xxhash64 of the
+    text); copies is the number of its rows, which repeat both. group_size
+    counts rows. group_id is the group's least id; kept marks one document of
+    each group, that of the least id (null ids last), then of the least
+    text_key. Every document is a query. Documents in one row that are near to
+    no other have no row here.
 
     Plan: fingerprints (map only); equal fingerprints become one node; the
     distances to twin references give each node a cell in each of several
     tables; nodes that share a cell are compared, discarded by the largest
     difference of their distances to further references, and verified by
-    Hamming distance. Only fingerprints are exchanged, not texts.
-    The cells are approximate (measured recall in the README); no cell has a cap.
+    Hamming distance. Only fingerprints are exchanged, not texts. The pairs are
+    written once, before components are searched. The cells are approximate
+    (expected recall by distance in the README); no cell has a cap.
 
     Null or empty texts, and those without a letter or digit, are near to
-    nothing. Rows with a null id are left out. Rows that repeat an id count as
-    versions of one document. Other columns are ignored, whatever their names.
+    nothing, even where they repeat. Null ids are ids like others; different
+    texts under one id are different documents. Very long texts are
+    fingerprinted in whole. An empty table has no groups. Other columns are
+    ignored, whatever their names.
     """
     id_type = docs.schema[id_col].dataType
-    printed = T.StructType([T.StructField("id", id_type), T.StructField("fp", T.BinaryType())])
-    spread = T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", id_type), T.StructField("fp", T.BinaryType())])
-    pairs = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
+    printed = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("fp", T.BinaryType())])
+    spread = T.StructType([T.StructField("cell", T.LongType()), T.StructField("fp", T.BinaryType())])
+    pairs = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
-    def fp_array(fps: np.ndarray) -> pa.Array:
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(fps), [None, pa.py_buffer(np.ascontiguousarray(fps))]).cast(pa.binary())
+    def fixed(rows: np.ndarray) -> pa.Array:
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
     def fp_matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
         return np.ascontiguousarray(buffers(col)[0]).reshape(-1, BITS // 8)
 
     def take_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, size = fingerprints(batch.column(1))
+            fps, size = fingerprints(batch.column(2))
             some = np.flatnonzero(size)
-            yield pa.record_batch([batch.column(0).take(pa.array(some)), fp_array(fps[some])], printed.names)
+            fps = fps[some]
+            yield pa.record_batch([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), fixed(node_keys(fps)), fixed(fps)], printed.names)
 
     def spread_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,25 +262,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 fps = fp_matrix(part.column("fp"))
                 key = cells(fps, config, layout)
                 who = pa.array(np.repeat(np.arange(len(fps)), layout[1]))
-                yield pa.record_batch([pa.array(key.ravel()), part.column("id").take(who), part.column("fp").take(who)], spread.names)
+                yield pa.record_batch([pa.array(key.ravel()), part.column("fp").take(who)], spread.names)
 
     def join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "cell", 8_000_000):
-            a, b = cell_edges(np.asarray(t["cell"]), fp_matrix(t["fp"]), config)
+            fps = fp_matrix(t["fp"])
+            a, b = cell_edges(np.asarray(t["cell"]), fps, config)
             if len(a):
-                ids = t["id"].combine_chunks()
-                x, y = ids.take(pa.array(a)), ids.take(pa.array(b))
+                x, y = fixed(node_keys(fps[a])), fixed(node_keys(fps[b]))
                 swap = pc.less(x, y)
                 both = pa.table([pc.if_else(swap, y, x), pc.if_else(swap, x, y)], pairs.names)
-                both = both.filter(pc.not_equal(both["u"], both["v"]))
                 yield from both.group_by(pairs.names).aggregate([]).select(pairs.names).to_batches()
 
-    prints = materialise(docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(tidy(take_prints), printed), "prints")
+    prints = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("key"), "text").mapInArrow(tidy(take_prints), printed)
+    prints = materialise(prints, "prints")
     layout = config.layout(prints.count())
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    crowd = nodes.select("id", "fp").mapInArrow(tidy(spread_cells), spread)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    nodes = prints.groupBy("node").agg(F.any_value("fp").alias("fp"), F.count("*").alias("n"), F.min(place).alias("least"))
+    crowd = nodes.select("fp").mapInArrow(tidy(spread_cells), spread)
     edges = crowd.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(join_cells), pairs).distinct()
-    stars = components(edges)
-    rooted = nodes.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("fp", "n", F.coalesce("v", "id").alias("group_id"))
-    sizes = rooted.groupBy("group_id").agg(F.sum("n").alias("group_size")).filter("group_size > 1")
-    return prints.join(rooted.join(sizes, "group_id"), "fp").select(F.col("id").alias(id_col), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("kept")).distinct()
+    stars = components(materialise(edges, "pairs"))
+    rooted = nodes.select("node", "n", "least").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("least").alias("first")).filter("group_size > 1")
+    members = prints.groupBy("node", "id", "key").agg(F.count("*").alias("copies"))
+    out = members.join(rooted.select("node", "root").join(groups, "root"), "node")
+    return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "copies", F.col("first.id").alias("group_id"), "group_size", F.col("first").eqNullSafe(place).alias("kept"))
