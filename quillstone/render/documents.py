@@ -84,7 +84,7 @@ class HtmlVisitor(Visitor):
         index = visited_packages(model, options).withColumn("link", link).groupBy("module_path").agg(markup.ordered_text(["import_path"], "link").alias("links"))
         when = lambda c, text: F.when(F.coalesce(F.col(c), F.lit("")) != "", text).otherwise("")
         text = F.concat(
-            F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n  <meta charset="UTF-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n  <title>'), title, F.lit(f"</title>\n{style}</head>\n<body>\n"),
+            F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n  <meta charset="UTF-8">\n  <meta name="viewport" content="width=device-width">\n  <title>'), title, F.lit(f"</title>\n{style}</head>\n<body>\n"),
             F.lit('  <div class="header">\n    <h1>'), title, F.lit("</h1>\n"), when("version", F.concat(F.lit('    <div class="version">'), html_escape("version"), F.lit("</div>\n"))), F.lit("  </div>\n"),
             F.lit('  <div class="module-info">\n    <p><strong>Path:</strong> '), html_escape("module_path"), F.lit("</p>\n"), when("go_version", F.concat(F.lit("    <p><strong>Go Version:</strong> "), html_escape("go_version"), F.lit("</p>\n"))), F.lit("  </div>\n"),
             F.lit('  <div class="package-index">\n    <h2>Packages</h2>\n      <ul>\n'), F.coalesce("links", F.lit("")), F.lit("      </ul>\n  </div>\n"),
