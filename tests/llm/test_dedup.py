@@ -263,6 +263,82 @@ def test_dense_cells_connect_the_same():
     assert len(few[0]) == 3 * 59 == len(many[0])
 
 
+def pairs_at(n, distances, seed):
+    """n unrelated fingerprints, and below them one at the given distance of each."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    flip = rng.random((n, 256)).argsort(axis=1).argsort(axis=1) < np.resize(distances, n)[:, None]
+    return np.concatenate([base, base ^ np.packbits(flip, axis=1)])
+
+
+def connected(n, a, b):
+    """The groups of 0 .. n - 1 that pairs connect."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[find(x)] = find(y)
+    groups = defaultdict(list)
+    for i in range(n):
+        groups[find(i)].append(i)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("size", [1_000, 200_000, 1 << 20])
+def test_parts_lose_no_pair(size):
+    radius = simhash_dedup.Config().radius
+    found = simhash_dedup.parts(radius, size)
+    assert sum(reach + 1 for _, reach in found) == radius + 1
+    used = np.concatenate([bits for bits, _ in found])
+    assert len(used) == len(set(used.tolist())) and max(len(bits) for bits, _ in found) <= 20
+    fps = pairs_at(700, [radius, radius + 1], 3)
+    want = {frozenset((i, i + 700)) for i in range(0, 700, 2)}  # those at the radius, not those beyond it
+    if size < 1 << 20:
+        assert connected(1400, *simhash_dedup.near_edges(fps, None, found, radius)) == want
+    assert connected(1400, *simhash_dedup.near_edges(fps[:700], fps[700:], found, radius)) == want
+
+
+def test_crowds_are_walked_to_the_same_groups():
+    rng = np.random.default_rng(7)
+    bases = rng.integers(0, 256, (3, 1, 32), dtype=np.uint8)
+    fps = np.concatenate([(b ^ np.packbits(rng.random((400, 256)) < 0.06, axis=1)) for b in bases] + [rng.integers(0, 256, (300, 32), dtype=np.uint8)])
+    rng.shuffle(fps)
+    fps = np.ascontiguousarray(np.unique(fps, axis=0))
+    want = brute_groups(range(len(fps)), fps, 44)[1]
+    for size in (500, 100_000):
+        a, b = simhash_dedup.near_edges(fps, None, simhash_dedup.parts(44, size), 44)
+        assert connected(len(fps), a, b) == want
+        assert len(a) == sum(len(g) - 1 for g in want)
+
+
+def test_pairs_at_the_radius_are_all_found():
+    """The tables of twin references have no common cell for some of them."""
+    fps = pairs_at(2000, [44], 5)
+    a, b = (simhash_dedup.cells(x, simhash_dedup.Config(), simhash_dedup.Config().layout(4000)) for x in (fps[:2000], fps[2000:]))
+    assert not (a == b).any(axis=1).all()
+    edges = simhash_dedup.near_edges(fps, None, simhash_dedup.parts(44, 4000), 44)
+    assert connected(4000, *edges) == {frozenset((i, i + 2000)) for i in range(2000)}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 250])
+def test_groups_are_those_of_all_pairs(spark, block):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1500)
+    t = docs.select("doc_id", "text").toArrow()
+    fps, size = simhash_dedup.fingerprints(t["text"].combine_chunks())
+    keep = np.flatnonzero(size)
+    config = simhash_dedup.Config(radius=70, block=block, tasks=8)  # at 70 of 256 bits the tables of twin references lose many pairs
+    _, want = brute_groups([t["doc_id"][int(i)].as_py() for i in keep], np.ascontiguousarray(fps[keep]), config.radius)
+    got = defaultdict(set)
+    for r in simhash_dedup.near_duplicates(docs, config=config).collect():
+        got[r.group_id].add(r.doc_id)
+    assert {frozenset(g) for g in got.values()} == want
+
+
 def test_spanning_pairs_connect_the_same():
     rng = np.random.default_rng(6)
     for _ in range(30):
