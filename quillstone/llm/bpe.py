@@ -14,8 +14,8 @@ go on while a shorter one has ended. It is made so by subsets: a state is the
 last token of the read prefix's one path and, for each place where a longer
 token may have begun, the token before it and the place in the labels' trie.
 (state, byte) -> state is a table; an entry is worked out from the gadgets when
-a text first needs it, and the table begins anew when it is full, so that its
-size doesn't follow the texts. Words are encoded by stepping through the table,
+a text first needs it, and a full table keeps only what was asked for most often,
+so that its size doesn't follow the texts. Words are encoded by stepping through the table,
 all words of a block at once; the tokens at the ends of a word's path are then
 read back by their lengths. No word is compared with another or kept.
 """
@@ -101,10 +101,10 @@ def compile_merges(labels: list[bytes], merges: list[tuple[int, int, int]]) -> A
 class Transitions:
     """The table (state, byte) -> state, filled from the gadgets on first need.
 
-    ``most`` bounds the states; beyond it the table begins anew.
+    ``most`` bounds the states; beyond it the entries that were asked for most often stay.
     """
 
-    def __init__(self, a: Automaton, most: int = 1 << 17):
+    def __init__(self, a: Automaton, most: int = 3 << 16):
         self.a, self.most = a, most
         self.left, self.right, self.birth, self.version = a.left.tolist(), a.right.tolist(), a.birth.tolist(), a.state.tolist()
         self.pairs = {(self.left[t], self.right[t]): k for t, k in enumerate(self.birth) if k > 0}
@@ -125,6 +125,7 @@ class Transitions:
         self.size = 0
         self.keys = np.full(self.slots, -1, np.int64)
         self.next = np.zeros(self.slots, np.int32)
+        self.used = np.zeros(self.slots, np.uint32)  # steps that asked for each entry after the one that made it
         self._state(-1, (0,))
 
     def _state(self, token: int, open_: tuple[int, ...]) -> int:
@@ -195,9 +196,34 @@ class Transitions:
         return self._state(token, tuple(out))
 
     def room(self) -> None:
-        """Begins anew where a block may not fit any more; called between blocks of words."""
+        """Makes room where a block may not fit any more; called between blocks of words."""
         if len(self.body) > self.most or 2 * self.size > self.slots:
+            self.keep()
+
+    def keep(self) -> None:
+        """Drops all but the entries that were asked for most often, half as many as states are allowed, and numbers their states anew."""
+        kept = np.flatnonzero(self.used)
+        kept = kept[np.argsort(-self.used[kept].astype(np.int64), kind="stable")[: self.most // 2]]
+        keys, after = self.keys[kept], self.next[kept]
+        states = np.unique(np.r_[0, keys >> 8, after])
+        if 4 * len(states) > 3 * self.most:
             self.begin()
+            return
+        body, last, has = [self.body[i] for i in states.tolist()], self.last[states], self.has
+        self.begin()
+        self.body, self.last = body, last
+        self.number = {b: i for i, b in enumerate(body)}
+        self.has = has if len(has) <= self.most else {}
+        self._fill(np.searchsorted(states, keys >> 8) << 8 | keys & 255, np.searchsorted(states, after))
+        self.size = len(keys)
+
+    def _fill(self, keys: np.ndarray, after: np.ndarray) -> None:
+        """Puts entries into the empty table."""
+        for key, made in zip(keys.tolist(), after.tolist(), strict=True):
+            slot = (key * 0x9E3779B1 >> 7) & (self.slots - 1)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (self.slots - 1)
+            self.keys[slot], self.next[slot] = key, made
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next states, by the table."""
@@ -205,7 +231,9 @@ class Transitions:
         mask = self.slots - 1
         slot = (key * 0x9E3779B1 >> 7) & mask
         out = self.next[slot]
-        miss = np.flatnonzero(self.keys[slot] != key)
+        hit = self.keys[slot] == key
+        self.used[slot[hit]] += 1
+        miss = np.flatnonzero(~hit)
         while len(miss):
             at = slot[miss]
             free = self.keys[at] < 0
@@ -218,7 +246,9 @@ class Transitions:
                     break
                 at = slot[miss]
             out[miss] = self.next[at]
-            miss = miss[self.keys[at] != key[miss]]
+            hit = self.keys[at] == key[miss]
+            self.used[at[hit]] += 1
+            miss = miss[~hit]
             slot[miss] = (slot[miss] + 1) & mask
         return out
 
@@ -239,14 +269,10 @@ class Transitions:
 
     def _wider(self) -> None:
         kept = np.flatnonzero(self.keys >= 0)
-        old = list(zip(self.keys[kept].tolist(), self.next[kept].tolist(), strict=True))
+        keys, after = self.keys[kept], self.next[kept]
         self.slots *= 2
-        self.keys, self.next = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
-        for key, made in old:
-            slot = (key * 0x9E3779B1 >> 7) & (self.slots - 1)
-            while self.keys[slot] >= 0:
-                slot = (slot + 1) & (self.slots - 1)
-            self.keys[slot], self.next[slot] = key, made
+        self.keys, self.next, self.used = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.uint32)
+        self._fill(keys, after)
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each byte of the words, the last token of the path up to it."""
@@ -350,7 +376,7 @@ def presplit(data: np.ndarray, off: np.ndarray, classes: np.ndarray | None = Non
 class Encoder:
     """Encodes texts by words, through one table of transitions."""
 
-    def __init__(self, automaton: Automaton, most: int = 1 << 17):
+    def __init__(self, automaton: Automaton, most: int = 3 << 16):
         self.a, self.table = automaton, Transitions(automaton, most)
         self.label_data = np.frombuffer(b"".join(automaton.labels), np.uint8)
         self.label_off = np.r_[0, np.cumsum(automaton.sizes)]

@@ -63,6 +63,27 @@ def test_same_ids_when_the_table_begins_anew(reference, most):
         assert encode(small, TRICKY) == [reference.encode_ordinary(t) for t in TRICKY]
 
 
+def test_full_table_keeps_what_is_asked_for_most():
+    """Words that recur need no second compilation when the table fills up; results stay."""
+    rng = random.Random(4)
+    e, whole = Encoder(tokenizer(TOKENIZER), 4000), Encoder(tokenizer(TOKENIZER))
+    usual = " ".join("the quick brown fox jumps over a lazy dog and then it sleeps".split() * 5)
+    kept, keep = [], e.table.keep
+    e.table.keep = lambda: (keep(), kept.append(len(e.table.body)))
+    for _ in range(12):
+        text = usual + " " + " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(150))
+        data = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(data)])
+        assert e.encode(data, off)[0].tolist() == whole.encode(data, off)[0].tolist()
+    assert kept and all(1 < n <= 3000 for n in kept)  # it was full, and something stayed
+    e.table.keep()
+    made, compile_ = [], e.table.compile
+    e.table.compile = lambda *key: (made.append(key), compile_(*key))[1]
+    data = np.frombuffer(usual.encode(), np.uint8)
+    e.encode(data, np.array([0, len(data)]))
+    assert not made
+
+
 def plain_merging(word, labels, merges):
     """The definition: of all merges that apply, the first, leftmost, again and again."""
     rank = {(u, v): (k, w) for k, (u, v, w) in enumerate(merges)}
