@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt into blocks by hash, and each pair of blocks is a group of rows that
     one task, or one for some of the parts, compares (:func:`near_edges`). No
     pair within the radius is left out. Only fingerprints are exchanged, each as
-    often as there are blocks, not texts. The pairs that connect a task's nodes
+    often as there are blocks and tasks for a pair of them, not texts. The pairs that connect a task's nodes
     are written once, before components are searched.
 
     Null or empty texts, and those without a letter or digit, are near to
