@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.sources.batches import BATCH, small_batches  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
@@ -40,22 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-#: Bytes of rows that go to or from a Python worker at a time.
-BATCH = 4_000_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes rather than rows, so that ten thousand long texts
-    don't make one; a smaller limit that the session has stays. Results don't
-    depend on it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "64m").lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
-    size = int(now.rstrip("kmg") or 0) * unit
-    if size <= 0 or size > BATCH:
-        spark.conf.set(name, str(BATCH))
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it again.
 

@@ -343,12 +343,13 @@ def render_gomod(s, d):
 def parse_go_source(s, d):
     """Every file of the model printed, then parsed: the declarations that are found."""
     files = source.source_files(t.model(s, d)).select(F.concat_ws("|", "import_path", "file_path").alias("path"), F.col("source").alias("text"))
-    parsed = loader.parse_sources(files)
-    m = loader.model_of(parsed, F.substring_index("file_path", "|", 1), loader.LoadOptions(placeholders=False))
-    rows = lambda kind, df, text: df.select(F.lit(kind).alias("kind"), "import_path", F.substring_index("file_path", "|", -1).alias("file_path"), "name", text.alias("text"), "is_exported", F.trim(F.replace("doc", F.lit("\n"), F.lit(" "))).alias("doc"))
-    value = F.concat_ws(" ", F.col("type"), F.col("value"))
-    kinds = rows("type", m.types, F.col("kind")).unionByName(rows("function", m.functions, F.col("signature"))).unionByName(rows("variable", m.variables, value)).unionByName(rows("constant", m.constants, value))
-    return kinds.unionByName(parsed.filter("error IS NOT NULL").select(F.lit("error").alias("kind"), F.lit("").alias("import_path"), "file_path", F.lit("").alias("name"), F.col("error").alias("text"), F.lit(False).alias("is_exported"), F.lit("").alias("doc")))
+    d = loader.parse_declarations(files).filter("what <> 'imports'")
+    what, fault = F.col("what"), F.col("what") == "error"
+    text = F.when(fault, F.col("value")).when(what == "types", F.col("kind")).when(what == "functions", F.col("signature")).otherwise(F.concat_ws(" ", "type", "value"))
+    return d.select(
+        F.when(fault, what).otherwise(F.regexp_replace(what, "s$", "")).alias("kind"), F.when(fault, "").otherwise(F.substring_index("file_path", "|", 1)).alias("import_path"), F.when(fault, F.col("file_path")).otherwise(F.substring_index("file_path", "|", -1)).alias("file_path"),
+        "name", text.alias("text"), (~fault & fn.is_exported_unicode("name")).alias("is_exported"), F.trim(F.replace("doc", F.lit("\n"), F.lit(" "))).alias("doc"),
+    )
 
 
 @query

@@ -27,8 +27,9 @@ DDL = {
 
 
 def rows(spark: SparkSession, table: str, data: list[dict] = ()) -> DataFrame:
-    """A model table from dicts; absent values get '' (strings), false or null."""
-    empty = spark.createDataFrame([], DDL[table])
+    """A model table from dicts; absent values get '' (strings), false or null.
+    One without rows is known to be empty when a query is planned, so that joins with it cost no exchange."""
+    empty = spark.createDataFrame([], DDL[table]).filter(F.lit(False))
     base = {f.name: {"string": "", "boolean": False, "int": 0, "bigint": 0}.get(f.dataType.simpleString()) for f in empty.schema}
     unknown = {k for d in data for k in d} - set(base)
     if unknown:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quillstone.functions import is_exported_unicode
 from quillstone.schema import DDL, Model, filled, rows
 from quillstone.sources import golang, gomod
+from quillstone.sources.batches import small_batches
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,10 @@ PARSED = (
     "constants ARRAY<STRUCT<name:STRING,type:STRING,value:STRING,given:BOOLEAN,spec:STRING,doc:STRING,start:BIGINT,stop:BIGINT>>"
 )
 
+DECLARED = "file_path STRING, what STRING, name STRING, kind STRING, signature STRING, type STRING, value STRING, doc STRING"
+#: Characters of source, or declarations, whose rows a worker holds before it passes them on.
+_HELD, _ROWS = 1_000_000, 4096
+
 
 def parse_sources(sources: DataFrame, path: str = "path", text: str = "text", build_tags: tuple[str, ...] = ()) -> DataFrame:
     """One row for each source text, its declarations nested; see PARSED. Map only.
@@ -72,29 +77,84 @@ def parse_sources(sources: DataFrame, path: str = "path", text: str = "text", bu
     texts are empty ones. Texts are UTF-8 strings or bytes.
     """
     spark = sources.sparkSession
+    small_batches(spark)
     schema = T._parse_datatype_string(PARSED)
     arrow = spark.createDataFrame([], schema).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, out = batch.slice(at, 64), []
-                for p, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    row = {"path": p, "file_path": p or "", "source": "", "error": None}
-                    try:
-                        row["source"] = raw.decode("utf-8") if isinstance(raw, bytes) else raw or ""
-                        name = row["file_path"].rsplit("/", 1)[-1]
-                        row |= {"built": golang.is_built(name, row["source"], build_tags), "generated": golang.is_generated(row["source"]), "build_tags": golang.build_tags(row["source"]), "line_starts": golang.line_starts(row["source"])}
-                        if row["built"]:
-                            row |= golang.parse(row["source"])
-                    except (golang.GoSyntaxError, UnicodeDecodeError) as e:
-                        row["error"] = str(e)
-                    out.append(row)
+            out, held = [], 0
+            for p, raw in _texts(batch):
+                row = {"path": p, "file_path": p or "", "source": "", "error": None}
+                try:
+                    row["source"] = raw.decode("utf-8") if isinstance(raw, bytes) else raw or ""
+                    name = row["file_path"].rsplit("/", 1)[-1]
+                    row |= {"built": golang.is_built(name, row["source"], build_tags), "generated": golang.is_generated(row["source"]), "build_tags": golang.build_tags(row["source"]), "line_starts": golang.line_starts(row["source"])}
+                    if row["built"]:
+                        row |= golang.parse(row["source"])
+                except (golang.GoSyntaxError, UnicodeDecodeError) as e:
+                    row["error"] = str(e)
+                out.append(row)
+                held += len(row["source"])
+                if len(out) == 64 or held >= _HELD:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out, held = [], 0
+            if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return sources.select(path, text).mapInArrow(run, schema)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return ((p.as_py(), t.as_py()) for p, t in zip(batch.column(0), batch.column(1), strict=True))
+
+
+def parse_declarations(sources: DataFrame, path: str = "path", text: str = "text", build_tags: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each declaration of the source texts; see DECLARED. Map only.
+
+    what: "types", "functions", "variables", "constants" or "imports" (name: the
+    path); "error" for a text that isn't Go, with its fault as value, of which no
+    declaration is given. kind is that of a type ("alias" too), signature a
+    function's. A file's declarations are kept as columns until its end is seen;
+    what isn't asked for is never made, so that a long file needs a few times its text.
+    """
+    small_batches(sources.sparkSession)
+    names = [f.name for f in T._parse_datatype_string(DECLARED)]
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+
+    def of(file: str, source: str) -> Iterator[tuple]:
+        for what, d in golang.declarations(source):
+            kind = "alias" if d.get("alias") else d.get("kind", "")
+            yield file, what, d["path"] if what == "imports" else d["name"], kind, d.get("signature", ""), d.get("type", ""), d.get("value", ""), d["doc"] or ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []  # of files that have ended
+        for batch in batches:
+            for p, raw in _texts(batch):
+                file, own, packed = p or "", [], []
+                try:
+                    source = raw.decode("utf-8") if isinstance(raw, bytes) else raw or ""
+                    if golang.is_built(file.rsplit("/", 1)[-1], source, build_tags):
+                        for row in of(file, source):
+                            own.append(row)
+                            if len(own) == _ROWS:
+                                packed.append(pack(own))
+                                own = []
+                except (golang.GoSyntaxError, UnicodeDecodeError) as e:
+                    own, packed = [(file, "error", "", "", "", "", str(e), "")], []
+                yield from packed
+                done += own
+                if len(done) >= _ROWS:
+                    yield pack(done)
+                    done = []
+        if done:
+            yield pack(done)
+
+    return sources.select(path, text).mapInArrow(run, DECLARED)
+
+
 def _each(parsed: DataFrame, what: str) -> DataFrame:
     return parsed.select("import_path", "file_path", "file_name", F.posexplode(what).alias("ord", "d"))
 
