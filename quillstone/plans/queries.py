@@ -354,12 +354,9 @@ def parse_go_source(s, d):
 
 @query
 def json_roundtrip(s, d):
-    """Every package as JSON and read again: what it declares, the last of each name."""
-    m = t.model(s, d)
-    texts = jsonmodel.package_views(m).select(F.to_json(F.struct(F.lit("demo").alias("Path"), F.create_map("import_path", "package").alias("Packages"))).alias("text"))
-    again = jsonmodel.model_from_json(s, texts)
-    one = lambda kind, df, text: df.select(F.lit(kind).alias("kind"), "import_path", "file_path", "name", F.col(text).alias("text"), "is_exported", "doc")
-    return one("type", again.types, "kind").unionByName(one("function", again.functions, "signature")).unionByName(one("variable", again.variables, "value")).unionByName(one("constant", again.constants, "value"))
+    """Every package as JSON, a large one in several documents, and read again: what it declares, the last of each name."""
+    texts = jsonmodel.package_parts(t.model(s, d)).select(F.to_json(F.struct(F.lit("demo").alias("Path"), F.create_map("import_path", "package").alias("Packages"))).alias("text"))
+    return jsonmodel.declared_in_json(texts)
 
 
 @query

@@ -1,17 +1,18 @@
-"""Models as nested JSON, read and written: a module is one document, or one row a package."""
+"""Models as nested JSON, read and written: a module is one document, or one row a package, or several of a large one."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.operators.joins import last_wins
 from quillstone.schema import DDL, Model, filled, rows
+from quillstone.sources.batches import small_batches
 
 _MEMBER = "Name:STRING,Signature:STRING,IsEmbedded:BOOLEAN,Doc:STRING"
 _PARAM = "ARRAY<STRUCT<Name:STRING,Type:STRING,IsVariadic:BOOLEAN>>"
@@ -32,47 +33,99 @@ class JsonError(ValueError):
     """A document that is no JSON object."""
 
 
-def _spell(value, kind: T.DataType):
-    """``value`` with its keys as ``kind`` spells them, whatever their case; keys of maps stay."""
-    if isinstance(kind, T.StructType) and isinstance(value, dict):
-        known = {f.name.lower(): f for f in kind}
-        return {known[k.lower()].name: _spell(v, known[k.lower()].dataType) for k, v in value.items() if k.lower() in known}
-    if isinstance(kind, T.MapType) and isinstance(value, dict):
-        return {k: _spell(v, kind.valueType) for k, v in value.items()}
-    if isinstance(kind, T.ArrayType) and isinstance(value, list):
-        return [_spell(v, kind.elementType) for v in value]
-    return value
+#: Characters of JSON that a worker holds before it passes them on; declarations that a document of package_parts is to hold.
+_HELD, PART = 1_000_000, 2048
+
+
+def _speller(kind: T.DataType) -> Callable | None:
+    """What gives a value its keys as ``kind`` spells them, whatever their case; keys of maps stay. None: values stay as they are."""
+    if isinstance(kind, T.StructType):
+        known = {f.name.lower(): (f.name, _speller(f.dataType)) for f in kind}
+        exact = {name: (name, inner) for name, inner in known.values()}
+
+        def struct(value):
+            if not isinstance(value, dict):
+                return value
+            out = {}
+            for k, v in value.items():
+                at = exact.get(k) or known.get(k.lower())
+                if at:
+                    out[at[0]] = at[1](v) if at[1] else v
+            return out
+
+        return struct
+    inner = _speller(kind.valueType) if isinstance(kind, T.MapType) else _speller(kind.elementType) if isinstance(kind, T.ArrayType) else None
+    if inner is None:
+        return None
+    if isinstance(kind, T.MapType):
+        return lambda value: {k: inner(v) for k, v in value.items()} if isinstance(value, dict) else value
+    return lambda value: [inner(v) for v in value] if isinstance(value, list) else value
 
 
 def read_modules(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row (module STRUCT) for each JSON document; a text that is no JSON object is an error. Map only."""
+    small_batches(documents.sparkSession)
     module_t = T._parse_datatype_string(MODULE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = _speller(module_t)
+        pack = lambda out: pa.record_batch([pa.array(out, pa.string())], ["text"])
         for batch in batches:
-            out = []
-            for raw in batch.column(0).to_pylist():
+            out, held = [], 0
+            for raw in batch.column(0):
                 try:
-                    value = json.loads(raw or "")
+                    value = json.loads(raw.as_py() or "")
                 except json.JSONDecodeError as e:
                     raise JsonError(f"no JSON: {e}") from None
                 if not isinstance(value, dict):
                     raise JsonError("a module is a JSON object")
-                out.append(json.dumps(_spell(value, module_t)))
-            yield pa.record_batch([pa.array(out, pa.string())], ["text"])
+                out.append(json.dumps(spell(value)))
+                held += len(out[-1])
+                if held >= _HELD:
+                    yield pack(out)
+                    out, held = [], 0
+            if out:
+                yield pack(out)
 
     return documents.select(text).mapInArrow(run, "text string").select(F.from_json("text", MODULE).alias("module"))
 
 
+def _packages(modules: DataFrame) -> DataFrame:
+    """(module_path, key, p STRUCT, import_path) of the packages of (module_path, Packages MAP)."""
+    p = modules.select("module_path", F.explode(F.map_entries("Packages")).alias("e")).select("module_path", F.col("e.key").alias("key"), F.col("e.value").alias("p"))
+    return p.withColumn("import_path", F.coalesce(F.when(F.col("p.ImportPath") != "", F.col("p.ImportPath")), F.col("key")))
+
+
+def declared_in_json(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, import_path, file_path, name, text, is_exported, doc) of each type, function, variable and constant in JSON modules.
+
+    The rows are those of :func:`model_from_json`, whose tables each read all
+    documents; here they are read once. text: a type's kind, a function's signature, a value.
+    """
+    p = _packages(read_modules(documents, text).select(F.coalesce("module.Path", F.lit("")).alias("module_path"), "module.Packages"))
+
+    def of(kind: str, what: str, shown: str) -> Column:
+        def row(e: Column) -> Column:
+            d = e["value"]
+            or_empty = lambda c: F.coalesce(d[c], F.lit(""))
+            return F.struct(F.lit(kind).alias("kind"), or_empty("File").alias("file_path"), F.coalesce(F.when(d["Name"] != "", d["Name"]), e["key"]).alias("name"), or_empty(shown).alias("text"), F.coalesce(d["IsExported"], F.lit(False)).alias("is_exported"), or_empty("Doc").alias("doc"))
+
+        made = F.transform(F.map_entries(f"p.{what}"), row)
+        return F.when(F.col(f"p.{what}").isNotNull(), made).otherwise(F.array().cast("array<struct<kind:string,file_path:string,name:string,text:string,is_exported:boolean,doc:string>>"))
+
+    found = F.concat(of("type", "Types", "Kind"), of("function", "Functions", "Signature"), of("variable", "Variables", "Value"), of("constant", "Constants", "Value"))
+    return p.select("import_path", F.explode(found).alias("d")).select("d.kind", "import_path", "d.file_path", "d.name", "d.text", "d.is_exported", "d.doc")
+
+
 def model_from_json(spark: SparkSession, documents: DataFrame | str, text: str = "text") -> Model:
     """The model of JSON modules. Keys are matched whatever their case; what is
-    absent is '' or false, so that a type without IsExported isn't exported."""
+    absent is '' or false, so that a type without IsExported isn't exported. A
+    package may be spread over several documents, as package_parts does; ord
+    then counts within each."""
     if isinstance(documents, str):
         documents = spark.createDataFrame([(documents,)], "text string")
     m = read_modules(documents, text).select("module.*").withColumn("module_path", F.coalesce("Path", F.lit("")))
-    p = m.select("module_path", F.explode(F.map_entries("Packages")).alias("e")).select("module_path", F.col("e.key").alias("key"), F.col("e.value").alias("p"))
-    path = F.coalesce(F.when(F.col("p.ImportPath") != "", F.col("p.ImportPath")), F.col("key"))
-    p = p.withColumn("import_path", path)
+    p = _packages(m)
     text_of = lambda c: F.coalesce(F.col(c), F.lit(""))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
 
@@ -100,7 +153,7 @@ def model_from_json(spark: SparkSession, documents: DataFrame | str, text: str =
     value = lambda what: each(what).select("import_path", text_of("d.File").alias("file_path"), "ord", "name", text_of("d.Type").alias("type"), text_of("d.Value").alias("value"), flag("d.IsExported").alias("is_exported"), text_of("d.Doc").alias("doc"))
     found = {
         "modules": m.select("module_path", text_of("Version").alias("version"), text_of("GoVersion").alias("go_version"), text_of("Dir").alias("dir"), text_of("GoMod").alias("go_mod")),
-        "packages": p.select("module_path", "import_path", text_of("p.Name").alias("name"), text_of("p.Dir").alias("dir"), text_of("p.Documentation").alias("documentation"), flag("p.IsTest").alias("is_test")),
+        "packages": p.select("module_path", "import_path", text_of("p.Name").alias("name"), text_of("p.Dir").alias("dir"), text_of("p.Documentation").alias("documentation"), flag("p.IsTest").alias("is_test")).distinct(),
         "types": t.select("import_path", text_of("d.File").alias("file_path"), "ord", "name", text_of("d.Kind").alias("kind"), text_of("d.Underlying").alias("underlying"), flag("d.IsExported").alias("is_exported"), text_of("d.Doc").alias("doc")),
         "fields": fields,
         "methods": member("Methods", False).unionByName(member("Interfaces", True)),
@@ -115,14 +168,37 @@ def model_from_json(spark: SparkSession, documents: DataFrame | str, text: str =
     return Model({k: filled(found[k], k) if k in found else rows(spark, k) for k in DDL})
 
 
+def largest_package(model: Model) -> int:
+    """How many entries the package with most of them has, repeated names included."""
+    all_ = [model.tables[x].select("import_path") for x in ("types", "functions", "variables", "constants", "imports", "files")]
+    return reduce(DataFrame.unionByName, all_).groupBy("import_path").count().agg(F.max("count")).first()[0] or 0
+
+
 def package_views(model: Model) -> DataFrame:
     """(module_path, import_path, package STRUCT): the acyclic nested view. Where
     names repeat in a package the last declaration is shown, as in a map."""
+    return package_parts(model, 1).drop("part")
+
+
+def package_parts(model: Model, parts: int | None = None) -> DataFrame:
+    """(module_path, import_path, part, package STRUCT): package_views with each
+    package in several rows, if it is large. An entry is in one part, by its
+    name; what a package says of itself is in all. Together the parts of a
+    package are the whole: none is left out that has an entry, nor the first.
+    parts: how many; as a rule as many as keep a part to PART entries or so,
+    so that no text, and no row, grows with the package.
+    """
+    if parts is None:
+        parts = 1 << max(0, (largest_package(model) - 1) // PART).bit_length()
+
+    def entries(df: DataFrame, key: str, value: Column, name: str, order: tuple[str, Column] = ("file_path", F.col("ord"))) -> DataFrame:
+        at = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+        return df.select("import_path", at.alias("part"), F.lit(name).alias("section"), F.col(key).alias("key"), F.struct(F.col(order[0]).alias("a"), order[1].cast("int").alias("b")).alias("order"), value.alias(name))
 
-    def entries(df: DataFrame, keys: list[str], value: Column, name: str, order: list[str] | None = None) -> DataFrame:
-        last = last_wins(df, ["import_path", *keys], order or ["file_path", "ord"])
-        kept = last.select("import_path", F.struct(F.col(keys[0]).alias("key"), value.alias("value")).alias("e"))
-        return kept.groupBy("import_path").agg(F.map_from_entries(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))).alias(name))
+    def shown(name: str) -> Column:
+        each = F.collect_list(F.when(F.col("section") == name, F.struct("key", F.col(name).alias("value"))))
+        made = F.map_from_entries(F.array_sort(each, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+        return F.when(F.size(each) > 0, made).alias(name)
 
     def listed(df: DataFrame, value: Column, name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct("ord", value.alias("v"))), lambda a, b: a["ord"] - b["ord"])
@@ -143,18 +219,25 @@ def package_views(model: Model) -> DataFrame:
         param("parameters").alias("Parameters"), param("results").alias("Results"), F.col("is_exported").alias("IsExported"), F.col("is_method").alias("IsMethod"), F.col("is_test").alias("IsTest"),
     )
     value = s(Name="name", Type="type", Value="value", IsExported="is_exported", Doc="doc", File="file_path")
-    out = model.packages
-    for part in (
-        entries(t, ["name"], type_, "Types"),
-        entries(model.functions, ["func_key"], function, "Functions"),
-        entries(model.variables, ["name"], value, "Variables"),
-        entries(model.constants, ["name"], value, "Constants"),
-        entries(model.imports, ["path"], s(Path="path", Name="name", IsBlank="is_blank", Doc="doc", File="file_path"), "Imports"),
-        entries(model.files, ["file_path"], s(Path="file_path", Name="name", SourceCode="source_code", IsTest="is_test", IsGenerated="is_generated"), "Files", ["name"]),
-    ):
-        out = out.join(part, "import_path", "left")
-    package = s(Name="name", ImportPath="import_path", Dir="dir", IsTest="is_test", Documentation="documentation", Types="Types", Functions="Functions", Variables="Variables", Constants="Constants", Imports="Imports", Files="Files")
-    return out.select("module_path", "import_path", package.alias("package"))
+    head = s(ModulePath="module_path", Name="name", ImportPath="import_path", Dir="dir", IsTest="is_test", Documentation="documentation")
+    made = [
+        model.packages.select("import_path", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit("Package").alias("section"), head.alias("Package")),
+        entries(t, "name", type_, "Types"),
+        entries(model.functions, "func_key", function, "Functions"),
+        entries(model.variables, "name", value, "Variables"),
+        entries(model.constants, "name", value, "Constants"),
+        entries(model.imports, "path", s(Path="path", Name="name", IsBlank="is_blank", Doc="doc", File="file_path"), "Imports"),
+        entries(model.files, "file_path", s(Path="file_path", Name="name", SourceCode="source_code", IsTest="is_test", IsGenerated="is_generated"), "Files", ("name", F.lit(0))),
+    ]
+    sections = ("Types", "Functions", "Variables", "Constants", "Imports", "Files")
+    # one exchange serves both the choice of the last and the parts
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made).repartition("import_path", "part")
+    w = Window.partitionBy("import_path", "part", "section", "key").orderBy(F.col("order").desc())
+    last = every.withColumn("_rn", F.when(F.col("section") == "Package", 1).otherwise(F.row_number().over(w))).filter("_rn = 1")
+    out = last.groupBy("import_path", "part").agg(F.collect_list("Package").alias("heads"), F.sum((F.col("section") != "Package").cast("int")).alias("n"), *map(shown, sections))
+    out = out.filter("part = 0 OR n > 0").withColumn("h", F.explode("heads"))
+    package = F.struct(*[F.col(f"h.{c}").alias(c) for c in ("Name", "ImportPath", "Dir", "IsTest", "Documentation")], *sections)
+    return out.select(F.col("h.ModulePath").alias("module_path"), "import_path", "part", package.alias("package"))
 
 
 def package_json(model: Model) -> DataFrame:
